@@ -9,13 +9,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import licenses, urls
+from tessera.llm.chat import op8_chat
 from tessera.llm.common import table
+from tessera.llm.decontam import op5_decontamination
+from tessera.llm.langid import op1_langid
+from tessera.llm.media import op2_media
 from tessera.llm.packing import op3_packing
+from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op10_simhash
+from tessera.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": lambda s, d: op1_langid(table(s, d, "documents")),
+    "op2_media": op2_media,
     "op3_packing": lambda s, d: op3_packing(table(s, d, "documents")),
+    "op4_urls": urls.op4_urls,
+    "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_chat": op8_chat,
+    "op9_pii": lambda s, d: op9_pii(table(s, d, "documents")),
     "op10_simhash": lambda s, d: op10_simhash(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_urls": urls.ORACLE, "op7_licenses": licenses.ORACLE}
