@@ -1,0 +1 @@
+"""Project retrieval, comparison and staffing analytics as composable DataFrame operators."""
