@@ -103,13 +103,14 @@ def key(word: str) -> str:
 
 
 def features(word: str) -> list[float]:
-    n, letters = len(_DIGITS.findall(word)), sum(c.isalpha() for c in word)
-    return [1.0, float("@" in word), float(word.count(".") == 3 and not letters), float(word[:1] == "+"), float(n >= LEAST_DIGITS and not letters), float(13 <= n <= 19 and not letters), float(letters > 0), float(n > 0 and letters > 0), float("/" in word), min(n, 20) / 20, min(len(word), 40) / 40]
+    digits, letters = "".join(_DIGITS.findall(word)), sum(c.isalpha() for c in word)
+    n = len(digits)
+    return [1.0, float(13 <= n <= 19 and luhn(digits)), float("@" in word), float(word.count(".") == 3 and not letters), float(word[:1] == "+"), float(n >= LEAST_DIGITS and not letters), float(13 <= n <= 19 and not letters), float(letters > 0), float(n > 0 and letters > 0), float("/" in word), min(n, 20) / 20, min(len(word), 40) / 40]
 
 
 @dataclass
 class Field:
-    unit: np.ndarray = field(default_factory=lambda: np.zeros((11, 5)))
+    unit: np.ndarray = field(default_factory=lambda: np.zeros((12, 5)))
     chain: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
     skip: float = SKIP_WEIGHT
 
@@ -241,8 +242,9 @@ def redact_pii(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:
+    """The counts and ``base_sha256`` are of base spans; ``spans`` also has those that the field adds."""
     found = find_pii(docs.select("doc_id", "text"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("pii", lambda s: s["base"])
-    count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == k))).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
