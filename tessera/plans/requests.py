@@ -169,7 +169,7 @@ ORACLE = {
     "workflow_gates": """WITH t AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'parsing' END AS status, ['draft', 'in_review', 'approved', 'exported', 'draft'][CAST(left(o_orderpriority, 1) AS INTEGER)] AS review, o_totalprice > 1000 AS parsed FROM orders)
         SELECT status, review, CASE WHEN status <> 'completed' THEN 'not completed' WHEN review NOT IN ('in_review', 'approved', 'exported') THEN 'not reviewed' WHEN NOT parsed THEN 'not parsed' ELSE '' END AS reason,
           CASE WHEN parsed AND review = 'draft' THEN 'in_review' ELSE review END AS after_confirm, CASE WHEN review = 'in_review' THEN 'approved' ELSE review END AS after_quote, CASE status WHEN 'completed' THEN 100 ELSE 20 END AS progress, count(*) AS n FROM t GROUP BY ALL""",
-    "display_formats": """SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN concat(n_chars * 37, ' B') WHEN n_chars * 37 < 1048576 THEN printf('%.1f KB', n_chars * 37 / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars * 37 / 1024.0::DOUBLE / 1024.0::DOUBLE) END AS size,
+    "display_formats": """SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN concat(n_chars * 37, ' B') WHEN n_chars * 37 < 1048576 THEN printf('%.1f KB', round(n_chars * 37 / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(n_chars * 37 / 1024.0::DOUBLE / 1024.0::DOUBLE, 1)) END AS size,
         CASE WHEN n_chars % 100 >= 70 THEN 'high' WHEN n_chars % 100 >= 40 THEN 'medium' ELSE 'low' END AS bucket, concat(n_chars % 100, '%') AS percent FROM documents""",
     "label_dictionary": "SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE lang END AS label, count(*) AS n FROM documents GROUP BY 1",
     "schema_evolution": "SELECT segment, count(*) AS n, min(name) AS first_name FROM (SELECT s_suppkey AS id, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer) GROUP BY segment",
