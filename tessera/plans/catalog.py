@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import requests, retrieval
+from tessera.plans import projects, requests, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | requests.QUERIES
-ORACLE: dict[str, str] = retrieval.ORACLE | requests.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | requests.QUERIES | projects.QUERIES
+ORACLE: dict[str, str] = retrieval.ORACLE | requests.ORACLE | projects.ORACLE
