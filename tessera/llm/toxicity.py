@@ -183,7 +183,8 @@ def _lexicon(texts: list[list[str]], labels: list[int]) -> list[str]:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on whole texts and their labels (1: toxic); without both labels the model knows the base rate only."""
-    split = [tokens(t) for t in texts]
+    same: dict[str, str] = {}  # one string for all places of a word
+    split = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]
     model = Model()
     rate = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.05
     model.logistic = np.array([0.0, 0.0, np.log(rate / (1 - rate))])
