@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, table
 
 WIDTH = 192
 _HEAD = re.compile(rb"P5\n(\d+) (\d+)\n255\n")
@@ -174,9 +174,13 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
-    """Each document as a page whose figure refers to the document's own payload; the reference is resolved by digest."""
+    """Each document as a page whose figure refers to the document's own payload; the reference is resolved by digest.
+
+    The media table (digests and features) is cut first: then both sides of the join come out of a shuffle of their own,
+    and adaptive execution may split the partition in which the references of many copies meet.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(raw, 256), F.lit('"><figcaption>document</figcaption></figure>'))
-    items = interleave(docs, "doc_id", html, media_table(docs))
+    items = interleave(docs, "doc_id", html, cut(media_table(docs)))
     return items.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
