@@ -38,12 +38,23 @@ def projects_of_hits(hits: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
+LIST_ROWS = 10_000  # bound of lists set by hand, which become one expression
+
+
+def _listed(rows: DataFrame) -> list:
+    """The rows of a list set by hand. A longer one is refused rather than cut."""
+    got = rows.limit(LIST_ROWS + 1).collect()
+    if len(got) > LIST_ROWS:
+        raise ValueError(f"a list of more than {LIST_ROWS} names belongs in a join")
+    return got
+
+
 def baseline_of(projects: DataFrame, baselines: DataFrame, name: str = "project_name") -> DataFrame:
     """``projects`` and ``baseline_key``: the first key (by ``key_ord``) inside the name, case aside; else ``default``.
 
     ``baselines(key_ord, key)`` is a list of names set by hand; the match is per row, so nothing is multiplied.
     """
-    keys = [r["key"] for r in baselines.where("key <> 'default'").orderBy("key_ord").limit(10_000).collect()]
+    keys = [r["key"] for r in _listed(baselines.where("key <> 'default'").orderBy("key_ord"))]
     low = F.lower(F.coalesce(F.col(name), F.lit("")))
     hit = F.coalesce(*(F.when(low.contains(k.lower()), k) for k in keys), F.lit("default")) if keys else F.lit("default")
     return projects.withColumn("baseline_key", hit)
@@ -60,7 +71,7 @@ def mentions(texts: DataFrame, text: Column, keywords: DataFrame) -> DataFrame:
     The keyword list is set by hand (some hundreds); it becomes one expression, so the texts are read once and not joined.
     """
     by: dict[str, list[str]] = {}
-    for r in keywords.orderBy("dimension", "keyword").limit(10_000).collect():
+    for r in _listed(keywords.orderBy("dimension", "keyword")):
         by.setdefault(r["dimension"], []).append(r["keyword"].lower())
     low = F.lower(text)
     found = []

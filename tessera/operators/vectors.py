@@ -1,8 +1,8 @@
 """Exact nearest neighbours.
 
 Query vectors are a stated set and go to the tasks in blocks of bounded size; the corpus is scanned once per block in
-vectorised Arrow batches. Every batch keeps only its own ``k`` best for each query, so what is shuffled is small, and a
-window over these candidates gives the exact result. A single query is a plain expression and a top-k.
+vectorised Arrow batches. Every task keeps only its own ``k`` best for each query, whatever the number of its batches, so
+what is shuffled is small, and a window over these candidates gives the exact result. A single query is a plain expression and a top-k.
 """
 
 from __future__ import annotations
@@ -62,24 +62,41 @@ def nearest_to_each(corpus: DataFrame, queries: DataFrame, k: int, block: int =
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()])
+    """Vectors of one length as rows of length one; null parts are NaN."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
 
 
+def _best(row: np.ndarray, key: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` candidates of each row with the largest values, ties by key; and each one's rank from 0."""
+    order = np.lexsort((key, -value, row))
+    row, key, value = row[order], key[order], value[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < k
+    return row[keep], key[keep], value[keep], rank[keep]
+
+
 def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
+        floor = np.full(len(q), -np.inf)  # the k-th best so far
+        row, key, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 keys = part.column(0).to_numpy()
                 similar = q @ _matrix(part.column(1)).T
-                similar[query_ids[:, None] == keys[None, :]] = -np.inf
+                similar[(query_ids[:, None] == keys[None, :]) | ~np.isfinite(similar)] = -np.inf
                 n = min(k, similar.shape[1])
-                least = np.partition(similar, -n, axis=1)[:, -n]  # ties with the k-th stay, so that ids can break them
-                row, column = np.nonzero((similar >= least[:, None]) & np.isfinite(similar))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(keys[column]), pa.array(similar[row, column])], ["query_id", "vec_id", "similarity"])
+                least = np.maximum(floor, np.partition(similar, -n, axis=1)[:, -n])  # ties with the k-th stay, so that ids can break them
+                r, c = np.nonzero((similar >= least[:, None]) & (similar > -np.inf))
+                if len(r):
+                    row, key, value, rank = _best(np.append(row, r), np.append(key, keys[c]), np.append(value, similar[r, c]), k)
+                    last = rank == k - 1
+                    floor[row[last]] = value[last]
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(key), pa.array(value)], ["query_id", "vec_id", "similarity"])
 
     return corpus.select("vec_id", "embedding").where("embedding is not null and vec_id is not null").mapInArrow(run, "query_id long, vec_id long, similarity double")

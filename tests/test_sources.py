@@ -100,6 +100,35 @@ def test_empty_inputs(spark):
     assert nearest_to_each(vectors, queries.limit(0), 5).count() == 0
 
 
+def test_neighbours_of_many_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (5000, 3)).astype(float)  # few values, so that there are many ties
+    vectors[:, 0] += 0.5
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(9000, [1.0, None, 0.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = corpus.where("vec_id % 1000 = 0 and vec_id < 9000").withColumnRenamed("vec_id", "query_id")
+    got = nearest_to_each(corpus, queries, 7, block=2).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(0, 5000, 1000):
+        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        similar = np.delete(unit @ unit[q], q)
+        assert len(own) == 7 and np.allclose([r["similarity"] for r in own], np.sort(similar)[::-1][:7])
+        assert all(r["vec_id"] not in (q, 9000) for r in own)
+
+
+def test_a_list_too_long_is_refused(spark, monkeypatch):
+    from tessera.operators import joins
+
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "key_ord int, key string")
+    projects = spark.createDataFrame([("xBx",), (None,)], "project_name string")
+    assert [r["baseline_key"] for r in joins.baseline_of(projects, names).collect()] == ["b", "default"]
+    monkeypatch.setattr(joins, "LIST_ROWS", 2)
+    with pytest.raises(ValueError):
+        joins.baseline_of(projects, names)
+
+
 def test_a_failing_model_is_a_value(spark):
     rows = spark.createDataFrame([(1, "p"), (2, "q")], "id int, prompt string")
 
