@@ -41,10 +41,11 @@ def ordered_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
 def sample_texts(docs: DataFrame, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most ``rows`` different texts of 1 to ``chars`` characters, those with the smallest hashes, brought to the driver.
 
-    Hashes and ids alone decide; the texts of the ``rows`` rows chosen are read afterwards.
+    Hashes and ids alone decide; the texts of the ``rows`` rows chosen are read afterwards, one for each hash, so an id
+    that many rows share brings no more.
     """
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, chars))
     hashes = known.select("_id", F.xxhash64("_text").alias("_hash")).groupBy("_hash").agg(F.min("_id").alias("_id"))
     chosen = ordered_sample(hashes, F.struct("_hash", "_id"), rows)
-    got = known.join(F.broadcast(chosen), "_id").where(F.xxhash64("_text") == F.col("_hash")).select("_hash", "_text").toPandas()
-    return got.drop_duplicates("_text").sort_values(["_hash", "_text"])["_text"].tolist()
+    got = known.join(F.broadcast(chosen), "_id").where(F.xxhash64("_text") == F.col("_hash"))
+    return got.groupBy("_hash").agg(F.min("_text").alias("_text")).toPandas().sort_values("_hash")["_text"].tolist()

@@ -141,7 +141,9 @@ def identify(model: Model, text: str | None) -> tuple[str, float, list[tuple[str
 
 
 def train(docs: DataFrame, learn: Column | None = None) -> Model:
-    """Fit on at most ``FIT_ROWS`` rows of each language, those with the smallest hashes of their ids."""
+    """Fit on at most ``FIT_ROWS`` rows of each language, those with the smallest hashes of their ids.
+
+    Of rows that share an id and a language the first text in order is taken, so the sample stays bounded."""
     rows = docs.where("lang is not null and text is not null")
     if learn is not None:
         rows = rows.where(learn)
@@ -150,8 +152,9 @@ def train(docs: DataFrame, learn: Column | None = None) -> Model:
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((6, 0), bool))
     hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"))
     chosen = reduce(DataFrame.union, [ordered_sample(hashed.where(F.col("lang") == x), F.struct("_hash", "doc_id"), FIT_ROWS) for x in langs])
-    got = rows.where(F.length("text") <= FIT_CHARS).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("text", "lang").toPandas()
-    got = got.drop_duplicates().sort_values(["lang", "text"])
+    got = rows.where(F.length("text") <= FIT_CHARS).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    got = got.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    got = got.drop_duplicates(["lang", "text"]).sort_values(["lang", "text"])
     return fit(got["text"].tolist(), got["lang"].tolist())
 
 

@@ -272,8 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mo
     small = small.select("_hash", "m.doc_id", "m._label")
     picked = [ordered_sample(small.where(F.col("_label") == y), F.struct("_hash", "doc_id"), n) for y, n in ((1, FIT_TOXIC), (0, FIT_OTHER))]
     chosen = picked[0].union(picked[1])
-    got = rows.join(F.broadcast(chosen.select("doc_id", "_label", "_hash")), "doc_id").orderBy("_hash", "doc_id").select("text", "_label").toPandas()
-    got = got.drop_duplicates("text")
+    got = rows.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("_hash"))
+    got = got.groupBy("_hash").agg(F.min("text").alias("text"), F.max("_label").alias("_label")).toPandas().sort_values("_hash")
     return fit(got["text"].tolist(), got["_label"].astype(int).tolist())
 
 

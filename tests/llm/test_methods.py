@@ -126,6 +126,18 @@ def test_toxic_stems_are_learned():
     assert score(say(200)) < 0.2 and score("") < 0.5
 
 
+def test_samples_stay_bounded_where_rows_share_an_id(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import sample_texts
+
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert len(sample_texts(docs, 50, 100)) == 50
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).words == {}  # one label only: the base rate is all there is to learn
+    assert langid.train(docs).langs == ["en"]
+
+
 def test_best_path_shortcut_changes_nothing():
     rng = np.random.default_rng(2)
     for _ in range(200):
