@@ -15,7 +15,7 @@ from tessera.llm.common import table
 from tessera.llm.decontam import remove_leaky
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import redact_pii
-from tessera.llm.simhash import keep_one
+from tessera.llm.similar import keep_one
 from tessera.llm.toxicity import reject_toxic
 
 
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of each group of near copies (similar five-word shingles, or linked fingerprints) one document stays."""
     return keep_one(docs)
 
 

@@ -37,13 +37,23 @@ SEED = 42
 _CHUNK = 1 << 15
 
 
-def fingerprint(raw: bytes | None, k: int = SHINGLE_WORDS) -> int:
-    """SimHash of one text given as UTF-8 bytes; no word (also null): 0."""
+def gram_hashes(raw: bytes | None, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the word k-grams of one text given as UTF-8 bytes, in their order; of fewer words one of all of them."""
     words = (raw or b"").lower().split()  # on bytes both know A-Z and the six ASCII blanks only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.dtype("<u8"))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.dtype("<u8"))
+
+
+def fingerprint(raw: bytes | None, k: int = SHINGLE_WORDS) -> int:
+    """SimHash of one text given as UTF-8 bytes; no word (also null): 0."""
+    return vote(gram_hashes(raw, k))
+
+
+def vote(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -186,13 +196,6 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of all but the first document (smallest id) of each near-duplicate group."""
-    found = near_duplicates(docs)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
-
-
 def op10_simhash(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
