@@ -137,10 +137,11 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of all but the first document (smallest id) of each group of near copies.
+    """Of each group of near copies in ``docs`` one row: the one with the smallest id, null ids last.
 
     Groups are connected by five-word similarity of ``SIMILAR`` or more and by fingerprints of the SimHash rule; texts
-    without a word have fingerprint 0.
+    without a word have fingerprint 0. Rows are told apart by a number that is written with them, so rows that repeat, share
+    an id or have none count one by one.
     """
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
     known = cut(rows.select("_row", "doc_id", sketch_udf(F.col("text").cast("binary")).alias("k")).select("_row", "doc_id", "k.*"))
@@ -151,6 +152,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     every = cut(known.select("fp").distinct())
     roots = components(links(every).union(same).union(near)).toDF("fp", "root")
     rooted = cut(known.select("_row", "doc_id", "fp").join(roots, "fp", "left").select("_row", "doc_id", F.coalesce("root", "fp").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("kept")))
-    drop = rooted.join(least, "root").where("doc_id <> kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    least = cut(rooted.groupBy("root").agg(F.min(order)["_row"].alias("_row")))
+    return rows.join(least.select("_row"), "_row", "left_semi").select(docs.columns)

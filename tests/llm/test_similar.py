@@ -28,3 +28,11 @@ def test_near_copies_beyond_three_bits(spark, sf_dir):
     alike = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(alike) > 50 and not [p for p in alike if kept.issuperset(p)]
     assert all(kept.intersection(range(i, i + 6)) for i in range(0, len(texts), 6))
+
+
+def test_rows_with_shared_or_missing_ids(spark, sf_dir):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(None, text["a"])] * 3 + [(1, text["b"])] * 3 + [(5, text["c"]), (7, text["c"]), (7, text["d"]), (None, text["d"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "a"), (1, "b"), (5, "c"), (7, "d")]
