@@ -101,7 +101,7 @@ def build(pairs: list[tuple[object, str]]) -> Index | None:
     if not items:
         return None
     m = np.array([len(x) for x in items])
-    budgets = np.minimum((EDIT_SHARE * m).astype(np.int64), (m - Q) // (2 * Q))
+    budgets = (EDIT_SHARE * m + 1e-9).astype(np.int64)  # from LEAST_BYTES on, two q-grams at least are left to share
     needs = m - Q + 1 - budgets * Q
     all_codes = [codes(x) for x in items]
     flat = np.concatenate(all_codes)
@@ -116,8 +116,11 @@ def build(pairs: list[tuple[object, str]]) -> Index | None:
     return Index(ids, items, budgets, needs, marked, grams, np.append(first, len(flat)), item[order], at[order], window, least)
 
 
-def edits_in_band(item: bytes, doc: bytes, low: int, high: int) -> tuple[int, int]:
-    """(least edits of ``item`` against a part of ``doc``, end of that part), on diagonals ``low`` to ``high`` only."""
+def edits_in_band(item: bytes, doc: bytes, low: int, high: int, budget: int) -> tuple[int, int]:
+    """(least edits of ``item`` against a part of ``doc``, end of that part), on diagonals ``low`` to ``high`` only.
+
+    No row's least falls below the one before; once it is over ``budget``, some number over the budget is returned.
+    """
     width = high - low + 1
     d = np.frombuffer(doc, np.uint8)
     shift = np.arange(width)
@@ -129,6 +132,8 @@ def edits_in_band(item: bytes, doc: bytes, low: int, high: int) -> tuple[int, in
     if b > a:
         padded[a - low : b - low] = d[a:b]
     for i, ch in enumerate(item):
+        if i % 8 == 0 and row.min() > budget:
+            break
         skip_item = np.append(row[1:], far) + 1  # the item's byte has no partner
         best = np.minimum(row + (padded[i : i + width] != ch), skip_item)
         ends = where + i + 1
@@ -162,7 +167,7 @@ def matches(index: Index, raw: bytes) -> dict[int, tuple[int, int, int]]:
             if place >= 0:
                 found[item] = (0, begin + place, begin + place + len(text))
                 continue
-            edits, end = edits_in_band(text, part, low - budget, high + budget)
+            edits, end = edits_in_band(text, part, low - budget, high + budget, budget)
             if edits <= budget and (not known or edits < known[0]):
                 found[item] = (edits, begin + max(0, end - len(text)), begin + end)
     return found

@@ -175,6 +175,27 @@ def test_items_with_edits_are_found():
     assert decontam.matches(index, decontam.normalise(" ".join(item.split()[:10]) + other)) == {}
 
 
+def test_items_with_all_edits_allowed_are_found():
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    around = letters(500)
+    for m in (24, 25, 50, 75, 120, 226, 600):
+        item = letters(m)
+        index, k = decontam.build([(1, item)]), 8 * m // 100
+        assert index.budgets.tolist() == [k] and index.needs[0] >= 1
+        places = [(i + 1) * m // (k + 1) for i in range(k)]
+        for kind in ("change", "drop", "add"):
+            held = list(item)
+            for at in places:
+                held[at] = {"change": "0", "drop": "", "add": held[at] + "0"}[kind]
+            (edits, _, _), = decontam.matches(index, decontam.normalise(f"{around} {''.join(held)} {around}")).values()
+            assert edits <= k and (edits == k or kind == "drop")
+        held = list(item)
+        for at in range(3, 3 + 2 * (k + 1), 2):
+            held[at] = "0"
+        assert decontam.matches(index, decontam.normalise(f"{around} {''.join(held)} {around}")) == {}
+
+
 def test_leaks_of_a_long_text_are_found_at_slice_edges(monkeypatch):
     monkeypatch.setattr(decontam, "SLICE", 500)
     item = "an item of quite some words that nobody would write twice by chance alone"
