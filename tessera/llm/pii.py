@@ -36,6 +36,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _UNIT = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+_MARK = re.compile("[0-9@]")
+_ANY = re.compile(r"\S+")
+LEAST_NAME = 5
 _EDGE = ".,;:!?()[]{}<>\"'*#$%&|"
 _DIGITS = re.compile("[0-9]")
 
@@ -75,12 +78,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def units(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(label, start, end) in order of start: base spans (1 + kind) and other words with a digit or an @ (0, unknown)."""
+def names_of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """Local parts of the e-mail addresses among the base spans, long enough to be a key."""
+    found = {text[a:b].split("@")[0].lower() for k, a, b in base if k == 0}
+    return {n for n in found if len(n) >= LEAST_NAME and any(c.isalpha() for c in n)}
+
+
+def units(text: str, base: list[tuple[int, int, int]], names: set[str] | frozenset = frozenset()) -> list[tuple[int, int, int]]:
+    """(label, start, end) in order of start: base spans (1 + kind) and other words (0, unknown) with a digit or an @, or in ``names``."""
     taken = sorted((a, b) for _, a, b in base)
     out = [(1 + k, a, b) for k, a, b in base]
     at = 0
-    for m in _UNIT.finditer(text):
+    for m in (_ANY if names else _UNIT).finditer(text):
         a, b = m.span()
         while at < len(taken) and taken[at][1] <= a:
             at += 1
@@ -88,16 +97,17 @@ def units(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             continue  # a base span is (a part of) this word
         word = text[a:b]
         a, b = a + len(word) - len(word.lstrip(_EDGE)), b - len(word) + len(word.rstrip(_EDGE))
-        if a < b:
+        if a < b and (_MARK.search(word) or text[a:b].lower() in names):
             out.append((0, a, b))
     return sorted(out, key=lambda u: (u[1], u[2], u[0]))
 
 
-def key(word: str) -> str:
-    """What repeated units share: the local part of an address or user name, else the last digits of a number."""
+def key(word: str, names: set[str] | frozenset = frozenset()) -> str:
+    """What repeated units share: the local part of an address, the user name (also behind an @), else the last digits of a number."""
     if "@" in word or any(c.isalpha() for c in word):
-        local = word.split("@")[0].lower()
-        return local if len(local) >= 5 and any(c.isdigit() for c in local) and any(c.isalpha() for c in local) else ""
+        local = word.lstrip("@").split("@")[0].lower()
+        named = local in names or any(c.isdigit() for c in local)
+        return local if len(local) >= LEAST_NAME and named and any(c.isalpha() for c in local) else ""
     digits = "".join(_DIGITS.findall(word))
     return digits[-9:] if len(digits) >= LEAST_DIGITS else ""
 
@@ -164,31 +174,29 @@ def all_spans(model: Field, text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) by kind and start: base spans and those that the field adds."""
     base = base_spans(text)
     out = [(k, a, b, True) for k, a, b in base]
-    if base:
-        u = units(text, base)
-        if len(u) > len(base):
-            keys = [key(text[a:b]) for _, a, b in u]
-            before: dict[str, int] = {}
-            skip = []
-            for i, k in enumerate(keys):
-                if k:
-                    if k in before:
-                        skip.append((before[k], i))
-                    before[k] = i
-            if skip:
-                own = np.array([features(text[a:b]) for _, a, b in u]) @ model.unit
-                for i, (label, _, _) in enumerate(u):
-                    if label:
-                        own[i] = np.where(np.arange(5) == label, 0.0, -50.0)
-                edges = np.array([(i, i + 1) for i in range(len(u) - 1)] + skip)
-                same = np.eye(5) * model.skip
-                potentials = np.concatenate([np.broadcast_to(model.chain, (len(u) - 1, 5, 5)), np.broadcast_to(same, (len(skip), 5, 5))])
-                p = propagate(own, edges, potentials)
-                for i, (label, a, b) in enumerate(u):
-                    best = int(p[i].argmax())
-                    if not label and best and p[i, best] > SURE:
-                        out.append((best - 1, a, b, False))
-                out.sort(key=lambda x: (x[0], x[1], x[2]))
+    names = names_of(text, base)
+    u = units(text, base, names)
+    if len(u) > len(base):
+        before: dict[str, int] = {}
+        skip = []
+        for i, (_, a, b) in enumerate(u):
+            if k := key(text[a:b], names):
+                if k in before:
+                    skip.append((before[k], i))
+                before[k] = i
+        own = np.array([features(text[a:b]) for _, a, b in u]) @ model.unit
+        for i, (label, _, _) in enumerate(u):
+            if label:
+                own[i] = np.where(np.arange(5) == label, 0.0, -50.0)
+        edges = np.array([(i, i + 1) for i in range(len(u) - 1)] + skip, int).reshape(-1, 2)
+        same = np.eye(5) * model.skip
+        potentials = np.concatenate([np.broadcast_to(model.chain, (len(u) - 1, 5, 5)), np.broadcast_to(same, (len(skip), 5, 5))])
+        p = propagate(own, edges, potentials)
+        for i, (label, a, b) in enumerate(u):
+            best = int(p[i].argmax())
+            if not label and best and p[i, best] > SURE:
+                out.append((best - 1, a, b, False))
+        out.sort(key=lambda x: (x[0], x[1], x[2]))
     return out
 
 
