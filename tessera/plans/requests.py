@@ -55,7 +55,7 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_classes(spark: SparkSession, d: str) -> DataFrame:
-    got = table(spark, d, "pages").select(T.document_class(T.basename(F.regexp_replace("url", "[?#].*", ""))).alias("by_name"), T.document_class(F.concat(F.col("url"), F.lit("_"), F.left(F.col("html"), F.lit(400)))).alias("by_content"))
+    got = table(spark, d, "pages").select(T.document_class(T.basename(F.regexp_replace("url", "[?#].*", ""))).alias("by_name"), T.document_class(F.concat(F.col("url"), F.lit("_"), F.col("html"))).alias("by_content"))
     return got.groupBy("by_name", "by_content").agg(F.count("*").alias("n"))
 
 

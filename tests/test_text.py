@@ -71,3 +71,11 @@ def test_plan(spark):
     projects = spark.createDataFrame([(1, "default", 20, False), (2, "default", 20, True)], "project_id int, baseline_key string, months int, is_complex boolean")
     rows = plan(projects, baseline(spark)).groupBy("project_id", "function").agg(F.round(F.sum("row_total"), 1).alias("t")).collect()
     assert {(r["project_id"], r["function"]): r["t"] for r in rows} == {(1, "PM"): 8.0, (1, "Chassis"): 50.0, (2, "PM"): 10.0, (2, "Chassis"): 56.0}
+
+
+def test_a_page_is_classified_by_its_whole_text(spark, tmp_path):
+    from tessera.plans import requests
+
+    page = spark.createDataFrame([("https://x.org/a", "<p>" + "word " * 200 + "see the RFQ</p>")], "url string, html string")
+    page.write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r) for r in requests.url_classes(spark, str(tmp_path)).collect()] == [("summary", "rfq", 1)]
