@@ -30,6 +30,7 @@ from tessera.llm.common import id_bucket, ordered_sample, table
 
 THRESHOLD = 0.7
 FIT_TOXIC, FIT_OTHER, FIT_CHARS = 2000, 4000, 20_000  # bound of the training sample: rows of either label, length of a row
+FIT_WINDOWS = 64  # of a sample row, so many of its first windows around known words train the field
 LEAST_CONTEXTS, LEAST_G, LEAST_ODDS = 4, 23.0, 1.5  # a log-likelihood ratio of 23 is passed by chance once in a million
 BEGINNINGS = (4, 5, 6, 7)  # lengths of the beginnings of longer words that are features besides the word
 CACHE_WORDS = 1 << 19
@@ -48,8 +49,13 @@ class Model:
     logistic: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, -3.0]))  # see ``evidence``
 
 
+def lowered(text: str | None) -> str:
+    """Lower-cased without a change of length: the dotted capital I is the only character that would grow."""
+    return (text or "").replace("\u0130", "i").lower()
+
+
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    return _WORD.findall(lowered(text))
 
 
 def features(word: str) -> list[str]:
@@ -199,7 +205,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             ids = [k for f in features(w) if (k := model.words.get(f)) is not None]
             known[w] = ids + [-1] * (most - len(ids))
         hits = [i for i, w in enumerate(words) if known[w][0] >= 0]
-        for i in hits[:64] or [len(words) // 2]:
+        for i in hits[:FIT_WINDOWS] or [len(words) // 2]:
             part = [known[w] for w in words[max(0, i - width // 2) : i + width // 2 + 1]]
             rows.append((part + [[-2] * most] * (width - len(part)), [int(label and k[0] >= 0) for k in part] + [0] * (width - len(part))))
     ids, gold = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -290,14 +296,13 @@ def scorer(model: Model):
         for texts in batches:
             out = []
             for text in texts.to_pylist():
-                lower = (text or "").lower()
+                lower = lowered(text)
                 words = _WORD.findall(lower)
                 mass, places, p = expected(model, words, power, scores)
                 spans = []
                 if places:
                     hot = {i: float(x) for i, x in zip(places, p, strict=True) if x > 0.5}
-                    same = len(lower) == len(text)  # lower-casing may change a length; spans are then of the lower text
-                    spans = [{"start": m.start(), "end": m.end(), "p": hot[i]} for i, m in enumerate(_WORD.finditer(lower)) if i in hot] if hot and same else []
+                    spans = [{"start": m.start(), "end": m.end(), "p": hot[i]} for i, m in enumerate(_WORD.finditer(lower)) if i in hot] if hot else []
                 out.append({"score": score_of(model, mass, len(words)), "spans": spans})
             yield pa.array(out, pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))]))
 

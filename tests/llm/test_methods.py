@@ -139,6 +139,15 @@ def test_toxic_stems_are_learned():
     assert score(say(200)) < 0.2 and score("") < 0.5
 
 
+def test_toxic_spans_hold_where_lower_case_is_longer(spark):
+    model = toxicity.Model(words={toxicity.features("grubsnort")[0]: 0}, weights=np.array([9.0]), bias=-4.0)
+    model.logistic = np.array([0.0, 1.0, 0.0])
+    held = ["\u0130stanbul: you are a GRUBSNORT and no more", "Istanbul: you are a GRUBSNORT and no more"]
+    got = spark.createDataFrame(list(enumerate(held)), "k int, text string").coalesce(1).select("k", toxicity.scorer(model)("text").alias("t")).orderBy("k").collect()
+    spans = [[(s.start, s.end) for s in r.t.spans] for r in got]
+    assert spans[0] == spans[1] and any(held[0][a:b] == "GRUBSNORT" for a, b in spans[0]) and got[0].t.score == got[1].t.score
+
+
 def test_samples_stay_bounded_where_rows_share_an_id(spark):
     from pyspark.sql import functions as F
 
