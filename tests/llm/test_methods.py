@@ -277,3 +277,10 @@ def test_anchor_words_lose_no_licence():
         grams = licenses.bigrams_of(text)
         left = [g for g in grams if not any(w in g for w in words)]
         assert 2 * len(left) < licenses.THRESHOLD * (len(left) + len(grams))
+
+
+def test_short_creative_commons_lines_and_the_whole_mit_paragraph_are_met(spark):
+    mit = max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len)
+    texts = ["Some prose.\nLicensed under CC BY-NC 4.0.\nMore.", "Licensed under CC BY-SA 4.0.", "Copyright (c) 2020 X\n\n" + mit.replace("including", "\nincluding").replace("publish,", "\npublish,") + "\n\nThe end."]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(0, "CC-BY-NC-4.0"), (1, "CC-BY-SA-4.0"), (2, "MIT")]
