@@ -106,13 +106,13 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     low = sets.select("s", "minima")
 
     def close(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(low.toDF("a", "ma"), "a").join(low.toDF("b", "mb"), "b")
+        both = pairs.join(low.toDF("a", "ma").hint("merge"), "a").join(low.toDF("b", "mb").hint("merge"), "b")  # too wide to pass the driver
         return both.select("a", "b", agreeing("ma", "mb").alias("n")).where(F.col("n") >= AGREE)
 
     def verified(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-        held = cut(nodes.join(sets.select("s", "_row"), "s").join(texts.select("_row", F.col("text").cast("binary").alias("text")), "_row").select("s", "text"))
-        both = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
+        held = cut(nodes.join(sets.select("s", "_row"), "s").join(texts.select("_row", F.col("text").cast("binary").alias("text")).hint("merge"), "_row").select("s", "text"))
+        both = pairs.join(held.toDF("a", "ta").hint("merge"), "a").join(held.toDF("b", "tb").hint("merge"), "b")
         return cut(both.where(similar_udf("ta", "tb")).select("a", "b"))
 
     index = low.mapInArrow(_band_keys, "key long, s long")
