@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import values as V
 from tessera.operators import aggregates, filters, ingest, joins, matrix, planning, questions, ranking
-from tessera.sources.tables import table
+from tessera.sources.tables import shared_folder, table
 from tessera.streaming import feeds
 
 
@@ -186,8 +185,7 @@ def feedback(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(spark: SparkSession, d: str, build) -> DataFrame:
     """Runs ``build`` over the events as a stream in complete mode; each trigger's whole result replaces the one before."""
     # the pattern names a file and a folder of files alike; a plain path could only be a folder
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = feeds.read_events(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
 
     def keep(rows: DataFrame, number: int) -> None:

@@ -9,7 +9,7 @@ def session(name: str = "tessera", master: str | None = None, **settings: str) -
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     for key, value in (fixed | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
