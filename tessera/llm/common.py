@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ascii_lower", "cut", "fitted", "free_name", "id_bucket", "ordered_sample", "sample_texts", "saved", "table"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (local tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the cluster's shared folder as Parquet and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it as far as ``df`` has such a column: operators overwrite no column of the caller."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_bucket(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
@@ -38,8 +53,22 @@ def ordered_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.withColumn("_key", key).orderBy("_key").limit(rows).drop("_key")
 
 
-def sample_texts(docs: DataFrame, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """At most ``rows`` different texts of 1 to ``chars`` characters, those with the smallest hashes, brought to the driver.
+def fitted(sample: DataFrame, fit: Callable[..., object]) -> object:
+    """``fit`` called with the columns (as lists) of a bounded ``sample``, in one task; only the model comes to the driver."""
+    names = sample.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        columns = [[x for b in held for x in b.column(k).to_pylist()] for k in range(len(names))]
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*columns))], pa.binary())], ["model"])
+
+    made = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit(*([] for _ in names))
+
+
+def sample_texts(docs: DataFrame, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text``: at most ``rows`` different texts of 1 to ``chars`` characters, those with the smallest hashes, in their order.
 
     Hashes and ids alone decide; the texts of the ``rows`` rows chosen are read afterwards, one for each hash, so an id
     that many rows share brings no more.
@@ -48,4 +77,4 @@ def sample_texts(docs: DataFrame, rows: int, chars: int, id_col: str = "doc_id",
     hashes = known.select("_id", F.xxhash64("_text").alias("_hash")).groupBy("_hash").agg(F.min("_id").alias("_id"))
     chosen = ordered_sample(hashes, F.struct("_hash", "_id"), rows)
     got = known.join(F.broadcast(chosen), "_id").where(F.xxhash64("_text") == F.col("_hash"))
-    return got.groupBy("_hash").agg(F.min("_text").alias("_text")).toPandas().sort_values("_hash")["_text"].tolist()
+    return got.groupBy("_hash").agg(F.min("_text").alias("text")).coalesce(1).orderBy("_hash").select("text")

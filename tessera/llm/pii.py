@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import sample_texts, table
+from tessera.llm.common import fitted, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS, FIT_CHARS = 2000, 20_000
@@ -232,7 +232,7 @@ def redact_udf(model: Field):
 
 def train(docs: DataFrame) -> Field:
     """Fit on at most ``FIT_ROWS`` texts with a digit, of at most ``FIT_CHARS`` characters, by smallest hash."""
-    return fit(sample_texts(docs.where(F.col("text").rlike("[0-9]")), FIT_ROWS, FIT_CHARS))
+    return fitted(sample_texts(docs.where(F.col("text").rlike("[0-9]")), FIT_ROWS, FIT_CHARS), fit)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

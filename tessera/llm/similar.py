@@ -10,8 +10,6 @@ A key that many sets share would give a pair for each two. So each set is first
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, free_name, saved
 from tessera.llm.components import components
 from tessera.llm.simhash import gram_hashes, links, vote
 
@@ -128,14 +126,6 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return star.union(verified(cut(close(cut(pairs)).select("a", "b"))))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared folder and read again."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="similar-")
-    path = f"{shared}/similar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of near copies in ``docs`` one row: the one with the smallest id, null ids last.
 
@@ -143,7 +133,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     without a word have fingerprint 0. Rows are told apart by a number that is written with them, so rows that repeat, share
     an id or have none count one by one.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "similar")
     known = cut(rows.select("_row", "doc_id", sketch_udf(F.col("text").cast("binary")).alias("k")).select("_row", "doc_id", "k.*"))
     sets = cut(known.where("s is not null").groupBy("s").agg(F.min("fp").alias("fp"), F.min("_row").alias("_row"), F.first("minima").alias("minima")))
     of = sets.select("s", "fp")

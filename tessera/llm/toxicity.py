@@ -26,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_bucket, ordered_sample, table
+from tessera.llm.common import fitted, free_name, id_bucket, ordered_sample, table
 
 THRESHOLD = 0.7
 FIT_TOXIC, FIT_OTHER, FIT_CHARS = 2000, 4000, 20_000  # bound of the training sample: rows of either label, length of a row
-FIT_WINDOWS = 64  # of a sample row, so many of its first windows around known words train the field
+FIT_WINDOWS = 64  # of a sample row, so many of its windows around known words, evenly spread, train the field
 LEAST_CONTEXTS, LEAST_G, LEAST_ODDS = 4, 23.0, 1.5  # a log-likelihood ratio of 23 is passed by chance once in a million
 BEGINNINGS = (4, 5, 6, 7)  # lengths of the beginnings of longer words that are features besides the word
 CACHE_WORDS = 1 << 19
 STEPS, RATE, RIDGE = 120, 0.2, 0.02
+_WIDTH, _PIECE = 17, 8192  # words of a training window, windows of a step of the gradient
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -198,23 +199,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not lexicon:
         return model
     model.words, model.weights = {w: i for i, w in enumerate(lexicon)}, np.zeros(len(lexicon))
-    # windows around known words, padded to one width, and as many without any; -1 is no feature, -2 no word
-    width, most, rows, known = 17, len(BEGINNINGS) + 1, [], {}
-    for words, label in zip(split, labels, strict=True):
-        for w in {*words}.difference(known):
-            ids = [k for f in features(w) if (k := model.words.get(f)) is not None]
-            known[w] = ids + [-1] * (most - len(ids))
-        hits = [i for i, w in enumerate(words) if known[w][0] >= 0]
-        for i in hits[:FIT_WINDOWS] or [len(words) // 2]:
-            part = [known[w] for w in words[max(0, i - width // 2) : i + width // 2 + 1]]
-            rows.append((part + [[-2] * most] * (width - len(part)), [int(label and k[0] >= 0) for k in part] + [0] * (width - len(part))))
-    ids, gold = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    inside = ids[..., 0] > -2
+    ids, gold = _windows(model, split, labels)
     step = np.zeros(len(lexicon) + 5)
     step[-5] = -4.0
     moment, square = np.zeros_like(step), np.zeros_like(step)
     for turn in range(1, STEPS + 1):
-        gradient = _gradient(step, ids, gold, inside) / len(rows) * 10 - RIDGE * step * (np.arange(len(step)) < len(lexicon)) / 10
+        found = sum(_gradient(step, ids[at : at + _PIECE], gold[at : at + _PIECE]) for at in range(0, len(ids), _PIECE))
+        gradient = found / len(ids) * 10 - RIDGE * step * (np.arange(len(step)) < len(lexicon)) / 10
         moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         step = step + RATE * (moment / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
     model.weights, model.bias, model.transitions = step[: len(lexicon)], float(step[-5]), step[-4:].reshape(2, 2)
@@ -230,9 +221,38 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def _gradient(theta: np.ndarray, ids: np.ndarray, gold: np.ndarray, inside: np.ndarray) -> np.ndarray:
+def _windows(model: Model, split: list[list[str]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of the words of each window, their tags): windows around known words, up to ``FIT_WINDOWS`` spread over
+    a text, or one in the middle of a text without any. In the features -1 is none, -2 no word."""
+    number: dict[str, int] = {}
+    for words in split:
+        for w in words:
+            number.setdefault(w, len(number))
+    known = np.full((len(number) + 1, len(BEGINNINGS) + 1), -1, np.int32)
+    for w, k in number.items():
+        own = [j for f in features(w) if (j := model.words.get(f)) is not None]
+        known[k, : len(own)] = own
+    known[-1] = -2
+    ids, gold = [], []
+    for words, label in zip(split, labels, strict=True):
+        own = np.fromiter((number[w] for w in words), np.int64, len(words))
+        hits = np.flatnonzero(known[own, 0] >= 0)
+        if len(hits) > FIT_WINDOWS:
+            hits = hits[np.linspace(0, len(hits) - 1, FIT_WINDOWS).astype(np.int64)]
+        elif not len(hits):
+            hits = np.array([len(words) // 2])
+        places = np.maximum(hits - _WIDTH // 2, 0)[:, None] + np.arange(_WIDTH)
+        inside = places < np.minimum(hits + _WIDTH // 2 + 1, len(words))[:, None]
+        part = known[np.where(inside, np.append(own, len(number))[np.minimum(places, len(words))], len(number))]
+        ids.append(part)
+        gold.append((part[..., 0] >= 0) & bool(label))
+    return np.concatenate(ids), np.concatenate(gold)
+
+
+def _gradient(theta: np.ndarray, ids: np.ndarray, gold: np.ndarray) -> np.ndarray:
     """Observed minus expected features of all windows: word weights, bias, transitions."""
     n, width, most = ids.shape
+    inside = ids[..., 0] > -2
     weights = np.append(theta[:-5], 0.0)
     word = np.where(ids >= 0, ids, len(weights) - 1)
     emit = np.ones((n, width, 2))
@@ -279,8 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mo
     picked = [ordered_sample(small.where(F.col("_label") == y), F.struct("_hash", "doc_id"), n) for y, n in ((1, FIT_TOXIC), (0, FIT_OTHER))]
     chosen = picked[0].union(picked[1])
     got = rows.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("_hash"))
-    got = got.groupBy("_hash").agg(F.min("text").alias("text"), F.max("_label").alias("_label")).toPandas().sort_values("_hash")
-    return fit(got["text"].tolist(), got["_label"].astype(int).tolist())
+    got = got.groupBy("_hash").agg(F.min("text").alias("text"), F.max("_label").cast("int").alias("_label"))
+    return fitted(got.coalesce(1).orderBy("_hash").select("text", "_label"), fit)
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
@@ -309,9 +329,10 @@ def scorer(model: Model):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
-    """``docs`` and a column ``toxicity`` (score, spans). Null and empty texts get the score of a text without known words."""
-    return docs.withColumn("toxicity", scorer(train(docs, labels, learn))("text"))
+def score_documents(docs: DataFrame, labels: DataFrame, learn: Column | None = None, name: str = "toxicity") -> DataFrame:
+    """``docs`` and a column ``name`` (score, spans), in place of one of that name. Null and empty texts get the score of a
+    text without known words; rows are scored one by one, so repeated rows and null ids stay."""
+    return docs.withColumn(name, scorer(train(docs, labels, learn))("text"))
 
 
 def learnable() -> Column:
@@ -319,9 +340,9 @@ def learnable() -> Column:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that score ``THRESHOLD`` or more."""
-    names = docs.columns
-    return score_documents(docs, labels, learnable()).where(F.col("toxicity.score") < THRESHOLD).select(names)
+    """``docs`` without those that score ``THRESHOLD`` or more; all its columns stay as they are, whatever their names."""
+    name = free_name(docs, "toxicity")
+    return score_documents(docs, labels, learnable(), name).where(F.col(f"{name}.score") < THRESHOLD).select(docs.columns)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
