@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import shared_folder, table
 
-__all__ = ["ascii_lower", "cut", "fitted", "free_name", "id_bucket", "ordered_sample", "sample_texts", "saved", "table", "written"]
+__all__ = ["ascii_lower", "cut", "fitted", "free_name", "id_bucket", "ordered_sample", "sample_by", "sample_texts", "saved", "table", "written"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,6 +75,21 @@ def fitted(sample: DataFrame, fit: Callable[..., object]) -> object:
     return pickle.loads(made["model"]) if made else fit(*([] for _ in names))
 
 
+def sample_by(rows: DataFrame, group: str, each: int, chars: int, groups: int) -> DataFrame:
+    """``text, <group>``: about ``each`` different texts (their first ``chars`` characters) of each of the ``groups`` most
+    frequent values of ``group``, those with the smallest hashes; never more than ``each``.
+
+    One pass counts the rows of the groups; the next takes hashes below four times the share wanted, so what is ranked is
+    bounded whatever the input, and repeated texts fall together before they are.
+    """
+    top = rows.groupBy(group).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), group).limit(groups)
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * F.col("_n") < 4.0 * each * (1 << 30)
+    near = rows.where(F.length("text") > 0).select(group, "text").join(F.broadcast(top), group).where(part)
+    near = near.groupBy(group, F.xxhash64("text").alias("_hash")).agg(F.min(F.left("text", F.lit(chars))).alias("text"))
+    order = Window.partitionBy(group).orderBy("_hash")
+    return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("text", group)
+
+
 def sample_texts(docs: DataFrame, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``text``: at most ``rows`` different texts of 1 to ``chars`` characters, those with the smallest hashes, in their order.
 

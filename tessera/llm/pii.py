@@ -3,12 +3,11 @@
 The patterns give the base spans (e-mail, IP address, card and telephone numbers). The field's units are the base
 spans, whose labels are given, and all other words with a digit or an @. Neighbouring units are linked as in a
 linear chain; besides, units with the same key (the last digits of a number, the local part of an address), however
-far apart, are linked to the next such unit by a skip edge that favours equal labels. Loopy belief propagation over
-both kinds of edges gives each unit's marginals, so that a number written again without its prefix, or a user name
-without its host, gets the label that it has elsewhere in the document.
+far apart, are linked to the next such unit by a skip edge that favours equal labels, and units whose keys differ by a
+character or two by another. Loopy belief propagation over all edges gives each unit's marginals, so that a number written again without
+its prefix or with a slip, or a user name without its host, gets the label that it has elsewhere in the document.
 
-Unit weights are trained by softmax regression on a bounded sample with the base spans as labels, chain weights are
-the smoothed log ratios of neighbouring labels there; the skip weight is a parameter.
+The weights of units, chain and skip edges are trained together on a bounded sample with the base spans as labels (``fit``).
 """
 
 from __future__ import annotations
@@ -27,7 +26,8 @@ from tessera.llm.common import fitted, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS, FIT_CHARS = 2000, 20_000
-SKIP_WEIGHT, ROUNDS, SURE = 6.0, 20, 0.5
+ROUNDS, SURE = 20, 0.5
+STEPS, RATE, RIDGE = 400, 2.0, 2e-4
 LEAST_DIGITS = 7
 
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +41,7 @@ _ANY = re.compile(r"\S+")
 LEAST_NAME = 5
 _EDGE = ".,;:!?()[]{}<>\"'*#$%&|"
 _DIGITS = re.compile("[0-9]")
+_JOINTS = re.compile(r"[._%+-]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -81,7 +82,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def names_of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
     """Local parts of the e-mail addresses among the base spans, long enough to be a key."""
     found = {text[a:b].split("@")[0].lower() for k, a, b in base if k == 0}
-    return {n for n in found if len(n) >= LEAST_NAME and any(c.isalpha() for c in n)}
+    own = {n for n in found if len(n) >= LEAST_NAME and any(c.isalpha() for c in n) and not n.isalpha()}  # a plain word is no name
+    return own | {x for n in own if len(x := _JOINTS.sub("", n)) >= LEAST_NAME}
 
 
 def units(text: str, base: list[tuple[int, int, int]], names: set[str] | frozenset = frozenset()) -> list[tuple[int, int, int]]:
@@ -103,11 +105,12 @@ def units(text: str, base: list[tuple[int, int, int]], names: set[str] | frozens
 
 
 def key(word: str, names: set[str] | frozenset = frozenset()) -> str:
-    """What repeated units share: the local part of an address, the user name (also behind an @), else the last digits of a number."""
+    """What repeated units share: the local part of an address or the user name (also behind an @) without dots and dashes, else
+    the last digits of a number."""
     if "@" in word or any(c.isalpha() for c in word):
         local = word.lstrip("@").split("@")[0].lower()
         named = local in names or any(c.isdigit() for c in local)
-        return local if len(local) >= LEAST_NAME and named and any(c.isalpha() for c in local) else ""
+        return _JOINTS.sub("", local) if len(local) >= LEAST_NAME and (named or word[:1] == "@") and any(c.isalpha() for c in local) else ""
     digits = "".join(_DIGITS.findall(word))
     return digits[-9:] if len(digits) >= LEAST_DIGITS else ""
 
@@ -118,32 +121,102 @@ def features(word: str) -> list[float]:
     return [1.0, float(13 <= n <= 19 and luhn(digits)), float("@" in word), float(word.count(".") == 3 and not letters), float(word[:1] == "+"), float(n >= LEAST_DIGITS and not letters), float(13 <= n <= 19 and not letters), float(letters > 0), float(n > 0 and letters > 0), float("/" in word), min(n, 20) / 20, min(len(word), 40) / 40]
 
 
+def skip_edges(keys: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(edges between units of one key, edges between units of similar keys). Each unit is linked to the next one of its key;
+    keys are similar if they are equal after one character is left out of one of them or of both, and of the keys that share such a rest each is linked to the next."""
+    same, similar, last, first = [], {}, {}, {}
+    for i, k in enumerate(keys):
+        if k:
+            if k in last:
+                same.append((last[k], i))
+            else:
+                first[k] = i
+            last[k] = i
+    near: dict[str, str] = {}
+    for k in first:
+        if len(k) > LEAST_NAME:
+            for rest in {k, *(k[:j] + k[j + 1 :] for j in range(len(k)))}:
+                if rest in near and near[rest] != k:
+                    similar[(first[near[rest]], first[k])] = None
+                near[rest] = k
+    return same, list(similar)
+
+
 @dataclass
 class Field:
     unit: np.ndarray = field(default_factory=lambda: np.zeros((12, 5)))
     chain: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
-    skip: float = SKIP_WEIGHT
+    skip: float = 0.0  # for equal labels of units with one key
+    similar: float = 0.0  # for equal labels of units with similar keys
+
+    def potentials(self, n_chain: int, n_same: int, n_similar: int) -> np.ndarray:
+        parts = [(self.chain, n_chain), (np.eye(5) * self.skip, n_same), (np.eye(5) * self.similar, n_similar)]
+        return np.concatenate([np.broadcast_to(p, (n, 5, 5)) for p, n in parts])
+
+
+def written_again(kind: int, word: str) -> tuple[list[str], list[str]]:
+    """Ways in which a document may write an item of the base once more, and look-alikes that are something else."""
+    digits = "".join(_DIGITS.findall(word))
+    if kind == 0:
+        local = word.split("@")[0]
+        return ([local, f"@{local}"], [f"x{local[::-1]}", f"@x{local[::-1]}"]) if len(local) >= LEAST_NAME and not local.isalpha() else ([], [])
+    if kind == 1 or len(digits) < LEAST_DIGITS + 2:
+        return [], []
+    wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+    other = "".join(str(9 - int(d)) for d in digits)
+    return ([digits[-9:], wrong[-9:]] if kind == 3 else [wrong, digits[:4] + "." + digits[4:]]), ([other[-9:]] if kind == 3 else [other[:-1] + str((int(other[-1]) + 3) % 10)])
 
 
 def fit(texts: list[str]) -> Field:
-    x, y, pairs = [], [], np.ones((5, 5))
+    """All weights together, by the pseudo-likelihood of each unit's label given those of its neighbours over both kinds of edges;
+    base spans, whose labels are always given, count as neighbours only.
+
+    Labels are the base spans, and other units take that of a base span with their key. As few texts repeat an item, each
+    base span is also written again behind its text in other forms, with its label, together with as many look-alikes without one.
+    """
+    x, y, free, edges = [], [], [], ([], [], [])
     for text in texts:
-        u = units(text, base_spans(text))
-        x += [features(text[a:b]) for _, a, b in u]
-        labels = [k for k, _, _ in u]
-        y += labels
-        np.add.at(pairs, (labels[:-1], labels[1:]), 1)
+        base = base_spans(text)
+        names = names_of(text, base)
+        known = [(k, text[a:b]) for k, a, b in units(text, base, names)]
+        open_here = [k == 0 for k, _ in known]
+        for k, word in list(known):
+            if k:
+                again, other = written_again(k - 1, word)
+                known += [(k, w) for w in again] + [(0, w) for w in other]
+        keys = [key(w, names) for _, w in known]
+        given = {c: k for (k, _), c in zip(known, keys) if k and c}
+        at = len(y)
+        free += open_here + [True] * (len(known) - len(open_here))
+        x += [features(w) for _, w in known]
+        y += [k or given.get(c, 0) for (k, _), c in zip(known, keys)]
+        for found, new in zip(edges, ([(i, i + 1) for i in range(len(known) - 1)], *skip_edges(keys))):
+            found += [(at + i, at + j) for i, j in new]
     out = Field()
-    if not y:
+    if not any(free):
         out.unit[0] = [4.0, 0, 0, 0, 0]
         return out
-    x, y = np.array(x), np.eye(5)[y]
-    for _ in range(300):
-        p = np.exp(x @ out.unit - (x @ out.unit).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        out.unit += 2.0 * (x.T @ (y - p) / len(x) - 1e-4 * out.unit)
-    joint = pairs / pairs.sum()
-    out.chain = np.clip(0.5 * np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -1, 1)
+    x, y, free = np.array(x), np.array(y), np.array(free, float)[:, None]
+    gold = np.eye(5)[y]
+    ends = [np.array(e, np.int64).reshape(-1, 2).T for e in edges]
+    n = len(y)
+    for _ in range(STEPS):
+        score = x @ out.unit
+        np.add.at(score, ends[0][1], out.chain[y[ends[0][0]]])
+        np.add.at(score, ends[0][0], out.chain.T[y[ends[0][1]]])
+        for (i, j), weight in zip(ends[1:], (out.skip, out.similar)):
+            np.add.at(score, i, weight * gold[j])
+            np.add.at(score, j, weight * gold[i])
+        p = np.exp(score - score.max(1, keepdims=True))
+        rest = (gold - p / p.sum(1, keepdims=True)) * free
+        out.unit += RATE * (x.T @ rest / n - RIDGE * out.unit)
+        chain = np.zeros((5, 5))
+        np.add.at(chain, y[ends[0][0]], rest[ends[0][1]])
+        np.add.at(chain.T, y[ends[0][1]], rest[ends[0][0]])
+        out.chain = np.clip(out.chain + RATE * (chain / n - RIDGE * out.chain), -1, 1)
+        same, similar = (float(rest[i, y[j]].sum() + rest[j, y[i]].sum()) / n for i, j in ends[1:])
+        out.skip += RATE * (same - RIDGE * out.skip)
+        out.similar += RATE * (similar - RIDGE * out.similar)
     return out
 
 
@@ -177,20 +250,13 @@ def all_spans(model: Field, text: str) -> list[tuple[int, int, int, bool]]:
     names = names_of(text, base)
     u = units(text, base, names)
     if len(u) > len(base):
-        before: dict[str, int] = {}
-        skip = []
-        for i, (_, a, b) in enumerate(u):
-            if k := key(text[a:b], names):
-                if k in before:
-                    skip.append((before[k], i))
-                before[k] = i
+        same, similar = skip_edges([key(text[a:b], names) for _, a, b in u])
         own = np.array([features(text[a:b]) for _, a, b in u]) @ model.unit
         for i, (label, _, _) in enumerate(u):
             if label:
                 own[i] = np.where(np.arange(5) == label, 0.0, -50.0)
-        edges = np.array([(i, i + 1) for i in range(len(u) - 1)] + skip, int).reshape(-1, 2)
-        same = np.eye(5) * model.skip
-        potentials = np.concatenate([np.broadcast_to(model.chain, (len(u) - 1, 5, 5)), np.broadcast_to(same, (len(skip), 5, 5))])
+        edges = np.array([(i, i + 1) for i in range(len(u) - 1)] + same + similar, int).reshape(-1, 2)
+        potentials = model.potentials(len(u) - 1, len(same), len(similar))
         p = propagate(own, edges, potentials)
         for i, (label, a, b) in enumerate(u):
             best = int(p[i].argmax())
@@ -231,16 +297,18 @@ def redact_udf(model: Field):
 
 
 def train(docs: DataFrame) -> Field:
-    """Fit on at most ``FIT_ROWS`` texts with a digit, of at most ``FIT_CHARS`` characters, by smallest hash."""
+    """Fit on at most ``FIT_ROWS`` texts with a digit, of at most ``FIT_CHARS`` characters, by smallest hash: a sample of texts;
+    longer ones are left to the others of their kind."""
     return fitted(sample_texts(docs.where(F.col("text").rlike("[0-9]")), FIT_ROWS, FIT_CHARS), fit)
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``pii``: an array of (kind, start, end, base), by kind and start, offsets in code points.
+def find_pii(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """``docs`` and ``name`` (in place of a column of that name): an array of (kind, start, end, base), by kind and start,
+    offsets in code points.
 
     A null or empty text has no spans. Rows are treated one by one; repeated rows and null ids stay.
     """
-    return docs.withColumn("pii", spans_udf(train(docs))("text"))
+    return docs.withColumn(name, spans_udf(train(docs))("text"))
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:

@@ -6,14 +6,17 @@ level 1 lets through, level 3 those listed keys that level 2 lets through, and s
 through. A key's first level that says no tells whether it is listed, exactly, for every key of the universe;
 rows are judged without a join.
 
-The levels are built from aggregates of set bits. Keys are dealt into shards by hash so that one shard's levels stay
-under ``SHARD_KEYS`` keys, and the probing stage gets each shard's levels as a broadcast of known size.
+The levels are built from aggregates of set bits. Keys are dealt into shards by hash so that a shard's first level (listed
+keys) and second level (false positives, about one in a hundred of the universe) hold ``SHARD_KEYS`` keys at most, in
+expectation. Rows go to the branch of their shard, and only that branch gets the shard's levels, a broadcast of known size.
+Keys that two independent 64-bit hashes cannot tell apart come out of the last level; the listed ones of them are kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ascii_lower, cut, table
+from tessera.llm.common import ascii_lower, cut, free_name, table
 
-SHARD_KEYS = 4_000_000  # listed keys of a shard at most, in expectation: about 5 MB of first-level bits
+SHARD_KEYS = 4_000_000  # about 5 MB of bits
 BITS_PER_KEY, HASHES, LEAST_BITS, MOST_LEVELS = 10, 5, 512, 64
+FALSE_POSITIVES = 0.0095  # of a level with BITS_PER_KEY and HASHES
 
 # The rules of the contract, host and path prefix, and the verdict of each.
 RULES = (
@@ -34,8 +38,11 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-# First labels of the hosts that are listed.
-LISTED = ("cheap-pills", "spam-farm")
+# The block list of the query; a dot in front stands for the host and all its subdomains.
+LISTED = (
+    ".cheap-pills.example.com", ".cheap-pills.example.net", ".cheap-pills.example.org",
+    ".spam-farm.example.com", ".spam-farm.example.net", ".spam-farm.example.org",
+)
 
 
 def host_of(url: Column) -> Column:
@@ -60,16 +67,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 @dataclass
 class Cascade:
     levels: list[np.ndarray]  # the bits of each level, packed
+    rest: frozenset | None = None  # listed keys that no level tells from others
 
-    def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """For keys of the universe, given by two hashes: whether they are listed."""
+    def listed(self, h1: np.ndarray, h2: np.ndarray, keys: list) -> np.ndarray:
+        """For keys of the universe and their two hashes: whether they are listed."""
         out = np.zeros(len(h1), bool)
         left = np.arange(len(h1))
         for turn, bits in enumerate(self.levels):
             inside = _inside(bits, h1[left], h2[left], turn)
             out[left[~inside]] = turn % 2 == 1
             left = left[inside]
-        out[left] = len(self.levels) % 2 == 1  # through all levels: what the last one holds
+        if self.rest is None:
+            out[left] = len(self.levels) % 2 == 1  # through all levels: what the last one holds
+        else:
+            out[left] = [keys[i] in self.rest for i in left.tolist()]
         return out
 
 
@@ -112,14 +123,20 @@ def _tester(cascade: Cascade, spark):
     shared = spark.sparkContext.broadcast(cascade)
 
     @F.arrow_udf(T.BooleanType())
-    def test(h1: pa.Array, h2: pa.Array) -> pa.Array:
-        return pa.array(shared.value.listed(h1.to_numpy(), h2.to_numpy()))
+    def test(h1: pa.Array, h2: pa.Array, keys: pa.Array) -> pa.Array:
+        exact = shared.value.rest is not None
+        return pa.array(shared.value.listed(h1.to_numpy(zero_copy_only=False), h2.to_numpy(zero_copy_only=False), keys.to_pylist() if exact else []))
 
     return test
 
 
+def hashes_of(key: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes from different seeds: a hash over two values takes the first one's as the seed of the second."""
+    return F.xxhash64(key), F.xxhash64(F.lit(1), key)
+
+
 def build_cascade(keys: DataFrame) -> Cascade:
-    """``keys(h1, h2, listed)``: the universe, once each -> the levels that tell the listed keys from the others."""
+    """``keys(key, h1, h2, listed)``: the universe, once each -> the levels that tell the listed keys from the others."""
     spark, levels = keys.sparkSession, []
     left = keys
     for turn in range(MOST_LEVELS):
@@ -128,7 +145,7 @@ def build_cascade(keys: DataFrame) -> Cascade:
         held = left.where(holds)
         n = held.count()
         if not n:
-            break  # the last level let none of these through, so what passed it is what it holds
+            return Cascade(levels)  # the last level let none of these through, so what passed it is what it holds
         size = -(-max(LEAST_BITS, n * BITS_PER_KEY) // 64) * 64
         bits = np.zeros(size // 64, np.uint64)
         words = held.select("h1", "h2").mapInArrow(_setter(turn, size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
@@ -137,57 +154,65 @@ def build_cascade(keys: DataFrame) -> Cascade:
         levels.append(bits.view(np.uint8))
         passed = _through(levels[-1], turn, spark)("h1", "h2")
         left = left.where(holds | passed)  # the keys it holds all pass; of the others, the false positives stay
-    else:
-        raise ValueError("two keys of the universe, one of them listed, have equal hashes")
-    return Cascade(levels)
+    # what is left are keys with both hashes alike (levels otherwise end long before): so few that they are listed one by one
+    return Cascade(levels, frozenset(r["key"] for r in left.where("listed").select("key").collect()))
 
 
-def mark_listed(rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame) -> DataFrame:
-    """``rows`` and a boolean column ``listed``: whether ``key`` is among ``listed(key)``.
+def mark_listed(rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame, name: str = "listed") -> DataFrame:
+    """``rows`` and a boolean column ``name``: whether ``key`` is among ``listed(key)``.
 
-    ``universe(key)`` must hold every key of ``rows`` (repeats do no harm). Null keys are not listed.
+    ``universe(key)`` must hold every key of ``rows`` (repeats do no harm). Null keys are not listed; listed keys that are not
+    in the universe do no harm. Repeated rows stay.
     """
-    spark = rows.sparkSession
-    hashes = [F.xxhash64(F.col("key")).alias("h1"), F.xxhash64(F.col("key"), F.lit(1)).alias("h2")]
     marks = universe.select("key", F.lit(0).alias("l")).union(listed.select("key", F.lit(1).alias("l"))).where("key is not null")
-    keys = cut(marks.groupBy("key").agg(F.max("l").alias("l")).select(*hashes, (F.col("l") == 1).alias("listed")))
-    n = keys.where("listed").count()
-    shards = n // SHARD_KEYS + 1
+    h1, h2 = hashes_of(F.col("key"))
+    keys = cut(marks.groupBy("key").agg(F.max("l").alias("l")).select("key", h1.alias("h1"), h2.alias("h2"), (F.col("l") == 1).alias("listed")))
+    n = keys.agg(F.count_if("listed"), F.count("*")).first()
+    shards = int(max(n[0], FALSE_POSITIVES * n[1])) // SHARD_KEYS + 1
     of = lambda h: F.pmod(F.shiftrightunsigned(h, 3), F.lit(shards))
-    out = F.lit(False)
-    h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit(1))
+    h1, h2 = hashes_of(F.col(key))
+    branches = []
     for k in range(shards):
-        test = _tester(build_cascade(keys.where(of(F.col("h1")) == k)), spark)
-        out = F.when(of(h1) == k, test(h1, h2)).otherwise(out) if shards > 1 else test(h1, h2)
-    return rows.withColumn("listed", F.col(key).isNotNull() & out)
+        test = _tester(build_cascade(keys.where(of(F.col("h1")) == k)), rows.sparkSession)
+        own = rows if shards == 1 else rows.where(of(h1) == k)  # a null key is hashed as well
+        branches.append(own.withColumn(name, F.col(key).isNotNull() & test(h1, h2, F.col(key))))
+    return reduce(DataFrame.unionAll, branches)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
-    """``pages`` and ``host, path, rule, verdict``. A host is blocked by the list, unless a rule says otherwise.
+    """``pages`` and ``host, path, rule, verdict`` (in place of columns of these names). A host of ``listed(key)`` is blocked
+    by the list, with its subdomains if the key begins with a dot, unless a rule says otherwise.
 
     A null url, or one without ``://``, has an empty host and path; the empty host is a key like any other.
     Repeated rows and null ids stay.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     split = pages.select(*names, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    marked = mark_listed(split, "host", split.select(F.col("host").alias("key")), listed)
+    mark = free_name(split, "listed")
+    hosts = split.select(F.col("host").alias("key"))
+    marked = mark_listed(split, "host", hosts, expand(listed, hosts.distinct()), mark)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return marked.select(*names, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    return marked.select(*names, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col(mark), "block").otherwise("allow")).alias("verdict"))
 
 
-def listed_hosts(pages: DataFrame) -> DataFrame:
-    """The block list of the query: hosts of the corpus with a listed label, once each."""
-    host = host_of(F.col("url"))
-    return pages.select(host.alias("key")).where(F.arrays_overlap(F.split("key", "[.]"), F.array(*map(F.lit, LISTED)))).distinct()
+def expand(listed: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The keys of ``listed`` and, for those that begin with a dot, the ``hosts`` that end with them, by their endings."""
+    plain = listed.where(~F.startswith("key", F.lit(".")))
+    labels = F.split("key", "[.]")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    under = hosts.select("key", F.explode(endings).alias("ending")).join(listed.select(F.col("key").alias("ending")).distinct(), "ending", "left_semi")
+    return plain.select("key").union(under.select("key")).distinct()
 
 
 def op4_urls(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, listed_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+    listed = spark.createDataFrame([(h,) for h in LISTED], "key string")
+    return judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-ORACLE = r"""
-WITH split AS (
+ORACLE = rf"""
+WITH listed(key) AS (VALUES {", ".join(f"('{h}')" for h in LISTED)}),
+split AS (
   SELECT page_id,
          CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'),
               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
@@ -205,7 +230,7 @@ WITH split AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
-    WHEN list_contains(string_split(host, '.'), 'cheap-pills') OR list_contains(string_split(host, '.'), 'spam-farm') THEN 'block'
+    WHEN EXISTS (SELECT 1 FROM listed WHERE ends_with('.' || host, key)) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """

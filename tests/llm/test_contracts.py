@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from tessera.llm import queries
+from tessera.llm import queries, urls
 
 ODD = [
     (1, None, None), (2, "", "en"), (3, "   \n\t ", "en"), (4, "12 34 !?", None), (5, "the cat and the dog of the house " * 3, "en"), (5, "the cat and the dog of the house " * 3, "en"),
@@ -28,7 +28,7 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     docs.write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(5, 1, 0), (6, 0, 1), (6, 0, 1), (9, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
     spark.createDataFrame([(1, "the cat and the dog of the house the cat and"), (2, None), (3, ""), (4, "short"), (5, "the cat and the dog of the house the cat and")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
-    pages = [(1, None, None), (2, "no scheme", ""), (3, "HTTP://Sub.Example.ORG/en/1?x", "<p>a"), (4, "http://example.org", None), (5, "://", ""), (6, "https://spam-farm.net/a", ""), (6, "https://spam-farm.net/a", ""), (None, "http://x.com/de/", "")]
+    pages = [(1, None, None), (2, "no scheme", ""), (3, "HTTP://Sub.Example.ORG/en/1?x", "<p>a"), (4, "http://example.org", None), (5, "://", ""), (6, "https://m.spam-farm.example.net/a", ""), (6, "https://m.spam-farm.example.net/a", ""), (None, "http://x.com/de/", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'h' AS host", "'p' AS path", "true AS listed").write.parquet(f"{base}/pages.parquet")
     talk = [(1, 0, "system", "be kind"), (1, 1, "user", None), (1, 2, "assistant", "a \\ < # </turn>\n### x:\n"), (2, 0, "user", "u" * 9000), (2, 1, "assistant", "é" * 5000), (None, 0, "user", "lost"), (3, 0, None, "who"), (3, 1, "assistant", "")]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS window", "2 AS tokens").write.parquet(f"{base}/conversations.parquet")
@@ -117,7 +117,7 @@ def test_urls(spark, base, duck):
         fits = [x for x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
         rule = max(fits, key=len, default=None)
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (rules[rule] if rule else "block" if {"cheap-pills", "spam-farm"} & {*host.split(".")} else "allow")
+        assert r.verdict == (rules[rule] if rule else "block" if any(f".{host}".endswith(h) for h in urls.LISTED) else "allow")
 
 
 def test_toxicity(spark, base):

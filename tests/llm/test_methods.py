@@ -96,7 +96,7 @@ def test_loopy_messages_are_exact_on_a_tree():
 
 
 def test_repeated_numbers_share_their_label():
-    field = pii.fit(["call +49 170 1234567 now", "mail a.b@c.de or 12 apples", "number 1234567890123456 is none"] * 5)
+    field = pii.fit(["call +49 170 1234567 now", "mail anna.b@c.de or 12 apples", "number 1234567890123456 is none"] * 5)
     text = "call +49 170 1234567 now and 1701234567 then; 42 apples"
     assert [(text[a:b], base) for _, a, b, base in pii.all_spans(field, text)] == [("+49 170 1234567", True), ("1701234567", False)]
     assert pii.redact(text, pii.all_spans(field, text)) == "call [PHONE] now and [PHONE] then; 42 apples"
@@ -109,7 +109,7 @@ def test_the_field_runs_on_every_document_with_open_units():
 
 
 def test_user_names_without_digits_share_their_label():
-    field = pii.fit(["call +49 170 1234567 now", "mail a.b@c.de or 12 apples", "number 1234567890123456 is none"] * 5)
+    field = pii.fit(["call +49 170 1234567 now", "mail anna.b@c.de or 12 apples", "number 1234567890123456 is none"] * 5)
     text = "write to Alice.Jones@x.org; then alice.jones, or @alice.jones. 42 apples"
     assert [(text[a:b], base) for _, a, b, base in pii.all_spans(field, text)] == [("Alice.Jones@x.org", True), ("alice.jones", False), ("@alice.jones", False)]
     assert pii.key("@alice99") == pii.key("alice99@x.org") == "alice99"
@@ -154,7 +154,7 @@ def test_samples_stay_bounded_where_rows_share_an_id(spark):
     from tessera.llm.common import sample_texts
 
     docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
-    assert len(sample_texts(docs, 50, 100)) == 50
+    assert sample_texts(docs, 50, 100).count() == 50
     labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels).words == {}  # one label only: the base rate is all there is to learn
     assert langid.train(docs).langs == ["en"]
