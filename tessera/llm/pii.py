@@ -159,7 +159,7 @@ def written_again(kind: int, word: str) -> tuple[list[str], list[str]]:
     digits = "".join(_DIGITS.findall(word))
     if kind == 0:
         local = word.split("@")[0]
-        return ([local, f"@{local}"], [f"x{local[::-1]}", f"@x{local[::-1]}"]) if len(local) >= LEAST_NAME and not local.isalpha() else ([], [])
+        return ([local, f"@{local}"], [local[::-1], f"@{local[::-1]}"]) if len(local) >= LEAST_NAME and not local.isalpha() else ([], [])
     if kind == 1 or len(digits) < LEAST_DIGITS + 2:
         return [], []
     wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
