@@ -108,13 +108,6 @@ def test_the_field_runs_on_every_document_with_open_units():
     assert pii.all_spans(field, "ask @alice99 now") == [(0, 4, 12, False)]  # neither a base span nor a repeated key
 
 
-def test_user_names_without_digits_share_their_label():
-    field = pii.fit(["call +49 170 1234567 now", "mail anna.b@c.de or 12 apples", "number 1234567890123456 is none"] * 5)
-    text = "write to Alice.Jones@x.org; then alice.jones, or @alice.jones. 42 apples"
-    assert [(text[a:b], base) for _, a, b, base in pii.all_spans(field, text)] == [("Alice.Jones@x.org", True), ("alice.jones", False), ("@alice.jones", False)]
-    assert pii.key("@alice99") == pii.key("alice99@x.org") == "alice99"
-
-
 def test_forward_backward_is_exact():
     model = toxicity.Model(bias=-0.7, transitions=np.array([[0.3, -0.2], [0.1, 0.5]]))
     places, scores, n = [1, 4], [2.0, -0.5], 6

@@ -59,3 +59,9 @@ def test_plain_words_are_no_names():
 def test_skip_edges():
     same, similar = pii.skip_edges(["123456789", "123456780", "123456789", "987654321"])
     assert same == [(0, 2)] and similar == [(0, 1)]
+
+
+def test_user_names_without_digits_share_their_label(field):
+    text = "write to Alice.Jones@x.org; then alice.jones, or @alice.jones. 42 apples"
+    assert [(text[a:b], base) for _, a, b, base in pii.all_spans(field, text)] == [("Alice.Jones@x.org", True), ("alice.jones", False), ("@alice.jones", False)]
+    assert pii.key("@alice99") == pii.key("alice99@x.org") == "alice99"
