@@ -25,6 +25,7 @@ WIDTH = 192
 _HEAD = re.compile(rb"P5\n(\d+) (\d+)\n255\n")
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _SILENT = frozenset(("script", "style", "template", "title"))
+_OPEN_TITLE = re.compile(r"<title\b[^>]*>(?!.*</title)", re.I | re.S)
 
 
 def pad(raw: bytes) -> bytes:
@@ -57,60 +58,132 @@ def feature(image: np.ndarray) -> str:
 
 
 class _Page(HTMLParser):
+    """Collects the items of a page. An element that holds no page text, or a caption, that is never closed ends with the
+    block around it or with the page."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.text: list[str] = []
-        self.silent = 0
-        self.figure: list[int] = []  # references of the open figure
+        self.silent: list[tuple[str, list[str]]] = []  # open silent elements and their text
+        self.figures: list[dict] = []  # open figures: their references and their caption
         self.caption: list[str] | None = None
+        self.inside = 0  # blocks opened inside the open caption or silent element
+
+    def item(self, kind: str, text: str | None, ref: str | None = None, caption: str | None = None) -> None:
+        self.out.append({"position": len(self.out), "kind": kind, "text": text, "ref": ref, "caption": caption})
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.out.append({"position": len(self.out), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.item("text", text)
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption, self.inside = " ".join("".join(self.caption).split()), None, 0
+        if text and self.figures:
+            figure = self.figures[-1]
+            figure["caption"] = f"{figure['caption']} {text}" if figure["caption"] else text
+            for k in figure["refs"]:
+                self.out[k]["caption"] = figure["caption"]
+
+    def end_silent(self) -> None:
+        """A silent element that nothing closed: what it took was page text."""
+        for _, text in self.silent:
+            self.text += text
+        self.silent, self.inside = [], 0
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        figure = self.figures.pop()
+        if figure["caption"] and not figure["refs"]:
+            self.item("text", figure["caption"])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent and tag not in _SILENT:
+            if self.silent[-1][0] != "template":
+                self.end_silent()
+            else:
+                self.inside += tag in _BLOCKS
+                return
         if tag in _SILENT:
-            self.silent += 1
-        if tag in _BLOCKS and self.caption is None:
+            self.silent.append((tag, []))
+        elif tag == "figure":
+            self.end_caption()
+            self.flush()
+            self.figures.append({"refs": [], "caption": None})
+        elif tag == "figcaption" and self.figures:
+            self.end_caption()
             self.flush()
-        if tag == "figure":
-            self.figure = []
-        elif tag == "figcaption":
             self.caption = []
         elif tag in ("img", "audio", "video", "source", "embed"):
             values = dict(attrs)
             if values.get("src"):
+                figure = self.figures[-1] if self.figures else {"refs": [], "caption": None}
+                if self.caption is None:
+                    self.flush()
+                figure["refs"].append(len(self.out))
+                self.item("media", None, values["src"], figure["caption"] or values.get("alt"))
+        elif tag in _BLOCKS:
+            if self.caption is None:
                 self.flush()
-                self.figure.append(len(self.out))
-                self.out.append({"position": len(self.out), "kind": "media", "text": None, "ref": values["src"], "caption": values.get("alt")})
+            else:
+                self.inside += tag not in ("br", "hr")
+                self.caption.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT and self.silent:
-            self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure:
-                self.out[k]["caption"] = text or self.out[k]["caption"]
-            self.caption = None
-        elif tag in _BLOCKS and self.caption is None:
-            self.flush()
+        if self.silent:
+            if tag == self.silent[-1][0]:
+                self.silent.pop()
+                self.inside = 0
+                return
+            if tag not in _BLOCKS:
+                return
+            if self.inside:
+                self.inside -= 1
+                return
+            self.end_silent()
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            if self.figures:
+                self.end_figure()
+        elif tag in _BLOCKS:
+            if self.caption is not None:
+                self.caption.append(" ")
+                self.inside -= 1
+                if self.inside < 0:  # the block around the caption ends
+                    self.end_caption()
+                    self.flush()
+            else:
+                self.flush()
 
     def handle_data(self, data: str) -> None:
-        if self.caption is not None:
+        if self.silent:
+            self.silent[-1][1].append(data if self.silent[-1][0] in ("title", "template") else "")
+        elif self.caption is not None:
             self.caption.append(data)
-        elif not self.silent:
+        else:
             self.text.append(data)
 
+    def finish(self) -> list[dict]:
+        self.end_silent()
+        self.end_caption()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+        return self.out
+
 
 def sequence(html: str | None) -> list[dict]:
+    """The items of a page in order. Captions are those of the figure around a reference, before or behind it, else its ``alt``."""
     page = _Page()
-    page.feed(html or "")
+    page.feed(_OPEN_TITLE.sub("", html or ""))
     page.close()
-    page.flush()
-    return page.out
+    return page.finish()
 
 
 ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("caption", T.StringType())])
@@ -173,14 +246,23 @@ def media_table(docs: DataFrame) -> DataFrame:
     return read.groupBy("digest").agg(F.first("m").alias("m")).select("digest", "m.*")
 
 
+def page_items(spark, sf_dir: str) -> DataFrame:
+    """The items of ``pages.html`` in order, references resolved among the texts of ``documents`` as stored media."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    media = cut(media_table(table(spark, sf_dir, "documents").select("text"))).select("digest", "media_bytes", "media_sha256")
+    return interleave(pages, "page_id", F.col("html"), media)
+
+
 def op2_media(spark, sf_dir: str) -> DataFrame:
-    """Each document as a page whose figure refers to the document's own payload; the reference is resolved by digest.
+    """Each document as a page: its number as heading, then a figure that refers to the document's own payload; the
+    reference is resolved by digest. Null texts are empty payloads; repeated rows and null ids stay.
 
     The media table (digests and features) is cut first: then both sides of the join come out of a shuffle of their own,
     and adaptive execution may split the partition in which the references of many copies meet.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(raw, 256), F.lit('"><figcaption>document</figcaption></figure>'))
+    caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without number")))
+    html = F.concat(F.lit("<h1>"), caption, F.lit('</h1><figure><img src="sha256:'), F.sha2(raw, 256), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
     items = interleave(docs, "doc_id", html, cut(media_table(docs)))
     return items.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

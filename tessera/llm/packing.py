@@ -34,7 +34,7 @@ SENTENCE_PENALTY = 2  # in tokens of padding
 FORCED_PENALTY = 32
 BLOCK_TOKENS = 1 << 18
 LEAST_POWER = 64  # shorter windows are made at the end of a partition only
-CACHE_WORDS = 1 << 19
+CACHE_BYTES = 64 << 20  # of remembered words and their ids
 TOKENIZER = "byte_bpe_50k"
 
 
@@ -42,7 +42,7 @@ class Tokens:
     """Byte-level BPE ids of whole texts. The ids equal those of the tokenizer file ``byte_bpe_50k.json``.
 
     Its pre-tokeniser never joins a blank that follows a non-blank to what stands before. So the text from one
-    single space or line end to the next is encoded on its own and remembered (``CACHE_WORDS`` words, then anew).
+    single space or line end to the next is encoded on its own and remembered (up to ``CACHE_BYTES``, then anew).
     Words not yet known are encoded together; the lengths of the tokens tell where each word ends. Texts with longer
     white space go through the encoder whole.
     """
@@ -60,6 +60,7 @@ class Tokens:
             self.ends[i] = token.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")
             self.sizes[i] = len(token)
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: list[str]) -> None:
         texts = [w if w[0] == "\n" else " " + w for w in words]
@@ -68,12 +69,14 @@ class Tokens:
         raw, start = ids.tobytes(), 0
         for word, stop in zip(words, (stops * 4).tolist(), strict=True):
             self.words[word] = raw[start:stop]
+            self.held += 150 + len(word) + stop - start
             start = stop
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         known = self.words
-        if len(known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         split = [f"\n{text}".replace("\n", " \n").split(" ")[1:] for text in texts]
         odd = {""}
         new = {w for words in split for w in {*words}.difference(known)} - odd

@@ -14,7 +14,7 @@ from tessera.llm.chat import op8_chat
 from tessera.llm.common import table
 from tessera.llm.decontam import op5_decontamination
 from tessera.llm.langid import op1_langid
-from tessera.llm.media import op2_media
+from tessera.llm.media import op2_media, page_items
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op10_simhash
@@ -23,6 +23,7 @@ from tessera.llm.toxicity import op6_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": lambda s, d: op1_langid(table(s, d, "documents")),
     "op2_media": op2_media,
+    "page_items": page_items,
     "op3_packing": lambda s, d: op3_packing(table(s, d, "documents")),
     "op4_urls": urls.op4_urls,
     "op5_decontamination": op5_decontamination,
