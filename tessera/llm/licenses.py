@@ -1,9 +1,14 @@
-"""Licence notices by the Dice coefficient over word bigrams, on DataFrame functions alone.
+"""Licence notices and texts found by the Dice coefficient over word bigrams, on DataFrame functions alone.
 
-Segments of a text (lines, sentences, paragraphs) are normalised and compared to notice templates. With a threshold t
-only templates of between t / (2 - t) and (2 - t) / t times a segment's bigrams can reach it; others are pruned by size.
-Before any segment is cut, a text must hold one of a few words: a template whose bigrams without these words are
-too few to reach the threshold cannot be met by a text without them, so this loses nothing.
+A document is compared in segments: its lines, its sentences, its paragraphs, and for each template the windows of as many
+words as the template has, from the beginning of each line and sentence on; so a text is found whether it stands on one
+line, is wrapped, or follows comment marks, which are blanks in the comparison. A segment's size bounds its best
+coefficient, so only sizes that can reach the threshold are compared.
+
+Before any segment is cut, the whole text must hold words of the template: a set of words without whose bigrams the rest
+is too little to reach the threshold must be met by one word at least, and so must each of several such sets without
+a common word. A text that fails one of them cannot be near, so this loses nothing; a long template is only compared
+to texts that hold much of it, however many templates there are.
 """
 
 from __future__ import annotations
@@ -14,32 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
 
-# Licence names and the notices they are known by.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSD-3-Clause", "Released under the BSD License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-
 
 def words_of(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9.]+", " ", text.lower()).replace(". ", " ").strip(" .").split(" ")
@@ -50,51 +33,76 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
 
 
-def anchors(threshold: float = THRESHOLD) -> list[str]:
-    """Words of which a text must hold one to reach the threshold with any template: the longest of each, few enough."""
-    found = set()
-    for _, text in TEMPLATES:
-        grams = bigrams_of(text)
-        left, chosen = grams, []
-        for word in sorted({*words_of(text)}, key=lambda w: (-len(w), w)):
-            if 2 * len(left) < threshold * (len(left) + len(grams)):
+def needed(text: str, threshold: float = THRESHOLD) -> list[list[str]]:
+    """Sets of words without a common one; a text without any word of one of them cannot reach the threshold."""
+    grams = bigrams_of(text)
+    left = sorted({*words_of(text)}, key=lambda w: (-len(w), w))
+    sets = []
+    while True:
+        rest, chosen = grams, []
+        for word in left:
+            if 2 * len(rest) < threshold * (len(rest) + len(grams)):
                 break
             chosen.append(word)
-            left = [g for g in left if word not in g.split(" ")]
-        found.update(chosen)
-    return sorted(w for w in found if not any(o != w and o in w for o in found))
+            rest = [g for g in rest if word not in g.split(" ")]
+        if 2 * len(rest) >= threshold * (len(rest) + len(grams)):
+            return sets
+        sets.append(chosen)
+        left = [w for w in left if w not in chosen]
 
 
 def normalise(c: Column) -> Column:
     return F.btrim(F.replace(F.regexp_replace(F.lower(c), "[^a-z0-9.]+", " "), F.lit(". "), F.lit(" ")), F.lit(" ."))
 
 
+def candidates(text: Column, threshold: float = THRESHOLD) -> Column:
+    """Places (from 1) in ``TEMPLATES`` of those that the text may hold."""
+    low = F.lower(text)
+    found = []
+    for k, (_, template) in enumerate(TEMPLATES, 1):
+        near = F.lit(True)
+        for words in needed(template, threshold):
+            one = F.lit(False)
+            for w in words:
+                one = one | low.contains(w)
+            near = near & one
+        found.append(F.when(near, F.lit(k)))
+    return F.array_compact(F.array(*found))
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, license, dice, n_segments``: per row and licence met, the best coefficient and how many different segments reach the threshold.
+    """``doc_id, license, dice, n_segments``: per row and licence met, the best coefficient and how many different segments
+    (as sets of bigrams) reach the threshold.
 
-    Bigrams are sets. Null or empty texts meet nothing; repeated rows are reported each (with equal values); a null id
-    is reported as null.
+    Null or empty texts meet nothing; repeated rows are reported each (with equal values); a null id is reported as null.
+    Other columns are not looked at.
     """
-    some = F.lower("text").rlike("|".join(map(re.escape, anchors(threshold))))
-    kept = docs.select("doc_id", "text").where(some).withColumn("row", F.monotonically_increasing_id())
-    segments = F.array_union(
-        F.array_union(F.split("text", "\n"), F.split(F.regexp_replace("text", "([.!?]) +", "$1\n"), "\n")), F.split("text", "\n\n+")
-    )
-    lines = kept.select("row", "doc_id", F.explode(F.array_distinct(F.transform(segments, normalise))).alias("line"))
+    first = {w for _, t in TEMPLATES for w in needed(t, threshold)[0]}
+    some = F.lower("text").rlike("|".join(re.escape(w) for w in sorted(first) if not any(o != w and o in w for o in first)))
+    kept = docs.select("doc_id", "text").where(some).select("doc_id", "text", F.monotonically_increasing_id().alias("row"), candidates(F.col("text"), threshold).alias("near"))
+    grams_of = F.array(*(F.array(*map(F.lit, bigrams_of(t))) for _, t in TEMPLATES))
+    names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
+    sizes = F.array(*(F.lit(len(words_of(t))) for _, t in TEMPLATES))
+    pairs = kept.where(F.size("near") > 0).select("row", "doc_id", "text", F.explode("near").alias("t"))
+    pieces = F.split(F.regexp_replace("text", "([.!?]) +", "$1\n"), "\n")
+    whole = F.concat(F.lit("\n"), F.array_join(F.filter(F.transform(pieces, normalise), lambda p: p != ""), "\n"))
+    window = F.concat(F.lit("\\n(?=((?:[^ \\n]+[ \\n]){0,"), (F.element_at(sizes, F.col("t")) - 1).cast("string"), F.lit("}[^ \\n]+))"))
+    windows = F.transform(F.regexp_extract_all(whole, window, F.lit(1)), lambda w: F.replace(w, F.lit("\n"), F.lit(" ")))
+    parts = F.array_union(F.array_union(F.split("text", "\n"), pieces), F.split("text", "\n\n+"))
+    segments = F.array_union(F.transform(parts, normalise), windows)
+    lines = pairs.select("row", "doc_id", "t", F.explode(segments).alias("line"))
     words = F.split("line", " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1))))
-    lines = lines.select("row", "doc_id", words.alias("words")).where(F.size("words") > 1).select("row", "doc_id", grams.alias("grams"))
-    n = F.size("grams")
-    met = []
-    for name, text in TEMPLATES:
-        own = bigrams_of(text)
-        dice = 2.0 * F.size(F.array_intersect("grams", F.array(*map(F.lit, own)))) / (n + len(own))
-        fits = n.between(len(own) * threshold / (2 - threshold), len(own) * (2 - threshold) / threshold)
-        met.append(F.when(fits, F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
-    best = lines.select("row", "doc_id", "grams", F.explode(F.array_compact(F.array(*met))).alias("m")).where(F.col("m.dice") >= threshold)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i))))
+    n, own = F.size("grams"), F.size("own")
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    count = F.size(F.element_at(grams_of, F.col("t")))
+    long = F.size(words).between(count * low, count * high * 4 + 8)  # repeated words make fewer bigrams, never more
+    lines = lines.where(long).select("row", "doc_id", "t", words.alias("words")).where(F.size("words") > 1)
+    lines = lines.select("row", "doc_id", "t", grams.alias("grams"), F.element_at(grams_of, F.col("t")).alias("own"))
+    met = lines.where(n.between(own * low, own * high)).withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "own")) / (n + own)).where(F.col("dice") >= threshold)
     return (
-        best.groupBy("row", "doc_id", F.col("m.license").alias("license"))
-        .agg(F.max("m.dice").alias("dice"), F.count_distinct("grams").alias("n_segments")).drop("row")
+        met.groupBy("row", "doc_id", F.element_at(names, F.col("t")).alias("license"))
+        .agg(F.max("dice").alias("dice"), F.count_distinct("grams").alias("n_segments")).drop("row")
     )
 
 
@@ -103,21 +111,32 @@ def op7_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{name}', [{', '.join(repr(g) for g in bigrams_of(text))}])" for name, text in TEMPLATES)
+    values = ", ".join(f"('{name}', {len(words_of(text))}, [{', '.join(repr(g) for g in bigrams_of(text))}])" for name, text in TEMPLATES)
+    low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
+    clean = lambda x: f"trim(replace(regexp_replace(lower({x}), '[^a-z0-9.]+', ' ', 'g'), '. ', ' '), ' .')"
+    common = sorted({w for _, t in TEMPLATES for w in needed(t)[0]}, key=len)
+    common = [w for w in common if not any(o != w and o in w for o in common)]
     return rf"""
-WITH templates(license, own) AS (VALUES {values}),
-segments AS (
-  SELECT row_number() OVER () AS row_id, doc_id, list_concat(list_concat(string_split(text, chr(10)),
-         string_split(regexp_replace(text, '([.!?]) +', '\1' || chr(10), 'g'), chr(10))), string_split_regex(text, '\n\n+')) AS parts
-  FROM documents WHERE text IS NOT NULL
-), lines AS (SELECT DISTINCT row_id, doc_id, trim(replace(regexp_replace(lower(part), '[^a-z0-9.]+', ' ', 'g'), '. ', ' '), ' .') AS line
-  FROM (SELECT row_id, doc_id, unnest(parts) AS part FROM segments)
-), split AS (SELECT row_id, doc_id, string_split(line, ' ') AS w FROM lines WHERE contains(line, ' ')
-), grams AS (SELECT row_id, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM split
-), met AS (
-  SELECT row_id, doc_id, license, g, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice
-  FROM grams JOIN templates ON len(g) BETWEEN len(own) * {THRESHOLD} / (2 - {THRESHOLD}) AND len(own) * (2 - {THRESHOLD}) / {THRESHOLD}
-)
+WITH templates(license, n_words, own) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents WHERE regexp_matches(lower(text), '{"|".join(re.escape(w) for w in common)}')),
+cut AS (SELECT row_id, doc_id, text, string_split(regexp_replace(text, '([.!?]) +', '' || chr(10), 'g'), chr(10)) AS pieces FROM docs),
+segments AS (SELECT row_id, doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), pieces), string_split_regex(text, '
+
++'))) AS part FROM cut),
+numbered AS (SELECT row_id, doc_id, place, string_split(line, ' ') AS w FROM (
+  SELECT row_id, doc_id, place, {clean("part")} AS line FROM (SELECT row_id, doc_id, unnest(pieces) AS part, generate_subscripts(pieces, 1) AS place FROM cut)) WHERE line <> ''),
+starts AS (SELECT row_id, doc_id, coalesce(sum(len(w)) OVER (PARTITION BY row_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM numbered),
+whole AS (SELECT row_id, flatten(list(w ORDER BY place)) AS w FROM numbered GROUP BY row_id),
+windows AS (SELECT DISTINCT row_id, doc_id, license, own, list_slice(w, CAST(start AS BIGINT) + 1, CAST(start AS BIGINT) + n_words) AS w
+  FROM starts JOIN whole USING (row_id), templates),
+lines AS (SELECT DISTINCT row_id, doc_id, {clean("part")} AS line FROM segments),
+every AS (
+  SELECT row_id, doc_id, license, own, string_split(line, ' ') AS w FROM lines, templates
+  WHERE contains(line, ' ') AND len(string_split(line, ' ')) BETWEEN len(own) * {low} AND len(own) * {high} * 4 + 8
+  UNION ALL SELECT row_id, doc_id, license, own, w FROM windows WHERE len(w) > 1 AND len(w) >= len(own) * {low}
+), grams AS (SELECT row_id, doc_id, license, own, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM every
+), met AS (SELECT row_id, doc_id, license, g, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM grams
+  WHERE len(g) BETWEEN len(own) * {low} AND len(own) * {high})
 SELECT doc_id, license, max(dice) AS dice, count(DISTINCT list_sort(g)) AS n_segments FROM met WHERE dice >= {THRESHOLD} GROUP BY row_id, doc_id, license
 """
 
