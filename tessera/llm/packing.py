@@ -34,7 +34,7 @@ SENTENCE_PENALTY = 2  # in tokens of padding
 FORCED_PENALTY = 32
 BLOCK_TOKENS = 1 << 18
 LEAST_POWER = 64  # shorter windows are made at the end of a partition only
-CACHE_BYTES = 64 << 20  # of remembered words and their ids
+CACHE_BYTES = 32 << 20  # of remembered words and their ids
 TOKENIZER = "byte_bpe_50k"
 
 

@@ -1,11 +1,11 @@
 """Near copies for the pipeline: five-word shingles with a Jaccard coefficient of 0.8 or more, or linked fingerprints.
 
 Candidates share a key: ``BANDS`` keys of ``ROWS`` minima each of the hashed shingle set. Two sets of coefficient J have
-no key in common with probability ``(1 - J ** ROWS) ** BANDS``, 3.2e-6 at 0.8 and less above. Candidates of which fewer than half of
-all minima agree are left (at 0.8 that is 7 standard deviations off); the others are verified on their whole texts.
+no key in common with probability ``(1 - J ** ROWS) ** BANDS``, 3.2e-6 at 0.8 and less above. Candidates of which fewer than
+``AGREE`` minima agree are left (at 0.8 that is 4.3 standard deviations off); the others are verified on their whole texts.
 
-A key that many sets share would give a pair for each two. So each set is first compared to the smallest of its keys
-(a star, linear in the rows), and only keys whose sets have not all met give pairs.
+A key that many sets share would give a pair for each two. So each set is first compared to one of the smallest sets of its
+keys, the one it shares most keys with (a star, linear in the rows), and only keys whose sets have not all met give pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from tessera.llm.simhash import gram_hashes, links, vote
 
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
-AGREE = BANDS * ROWS // 2
+AGREE = 60  # of all minima; at 0.8 fewer agree once in a hundred thousand
+SLICE = 256
 _STEP = 4096
 _RANDOM = np.random.default_rng(42)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,7 +69,7 @@ SKETCH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("s", T.L
 def sketch_udf(raw: pa.Array) -> pa.Array:
     """Fingerprint, a number for the shingle set (null without a word) and the minima."""
     fp, ids, low = [], [], []
-    for text in raw.to_pylist():
+    for text in (t for at in range(0, len(raw), SLICE) for t in raw.slice(at, SLICE).to_pylist()):
         three = gram_hashes(text)
         found = shingles(three)
         fp.append(vote(three))
@@ -84,7 +85,8 @@ def agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BooleanType())
 def similar_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similar(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+    parts = ((a.slice(at, SLICE), b.slice(at, SLICE)) for at in range(0, len(a), SLICE))
+    return pa.array([similar(x, y) for p, q in parts for x, y in zip(p.to_pylist(), q.to_pylist(), strict=True)], pa.bool_())
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +118,9 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     index = low.mapInArrow(_band_keys, "key long, s long")
     heads = cut(index.groupBy("key").agg(F.min("s").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"))
     shared = cut(index.join(heads, "key"))
-    first = close(cut(shared.where("s <> b").select(F.col("s").alias("a"), "b").distinct()))
-    star = verified(cut(first.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")))
+    first = shared.where("s <> b").groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("n"))
+    first = cut(first.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b"))
+    star = verified(cut(close(first).select("a", "b")))
     tops = components(star).toDF("s", "top")
     marked = cut(shared.select("key", "s").join(tops, "s", "left").select("key", "s", F.coalesce("top", "s").alias("top")))
     mixed = cut(marked.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("key"))
@@ -130,18 +133,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of near copies in ``docs`` one row: the one with the smallest id, null ids last.
 
     Groups are connected by five-word similarity of ``SIMILAR`` or more and by fingerprints of the SimHash rule; texts
-    without a word have fingerprint 0. Rows are told apart by a number that is written with them, so rows that repeat, share
-    an id or have none count one by one.
+    without a word (also null ones) have fingerprint 0 and are one group. Rows are told apart by a number that is written with
+    them, so rows that repeat, share an id or have none count one by one. All columns stay, whatever their names.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "similar")
-    known = cut(rows.select("_row", "doc_id", sketch_udf(F.col("text").cast("binary")).alias("k")).select("_row", "doc_id", "k.*"))
+    number = free_name(docs, "_row")
+    rows = saved(docs.withColumn(number, F.monotonically_increasing_id()), "similar")
+    texts = rows.select(F.col(number).alias("_row"), "doc_id", "text")
+    known = cut(texts.select("_row", "doc_id", sketch_udf(F.col("text").cast("binary")).alias("k")).select("_row", "doc_id", "k.*"))
     sets = cut(known.where("s is not null").groupBy("s").agg(F.min("fp").alias("fp"), F.min("_row").alias("_row"), F.first("minima").alias("minima")))
     of = sets.select("s", "fp")
     same = cut(known.where("s is not null").select("s", F.col("fp").alias("a")).distinct()).join(of, "s").where("a <> fp").select("a", F.col("fp").alias("b"))
-    near = similar_sets(sets, rows).join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").select("fa", "fb")
+    near = similar_sets(sets, texts).join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").select("fa", "fb")
     every = cut(known.select("fp").distinct())
     roots = components(links(every).union(same).union(near)).toDF("fp", "root")
     rooted = cut(known.select("_row", "doc_id", "fp").join(roots, "fp", "left").select("_row", "doc_id", F.coalesce("root", "fp").alias("root")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     least = cut(rooted.groupBy("root").agg(F.min(order)["_row"].alias("_row")))
-    return rows.join(least.select("_row"), "_row", "left_semi").select(docs.columns)
+    return rows.join(least.select(F.col("_row").alias(number)), number, "left_semi").select(docs.columns)

@@ -33,7 +33,8 @@ FIT_TOXIC, FIT_OTHER, FIT_CHARS = 2000, 4000, 20_000  # bound of the training sa
 FIT_WINDOWS = 64  # of a sample row, so many of its windows around known words, evenly spread, train the field
 LEAST_CONTEXTS, LEAST_G, LEAST_ODDS = 4, 23.0, 1.5  # a log-likelihood ratio of 23 is passed by chance once in a million
 BEGINNINGS = (4, 5, 6, 7)  # lengths of the beginnings of longer words that are features besides the word
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
+SLICE = 256  # texts held as strings at a time
 STEPS, RATE, RIDGE = 120, 0.2, 0.02
 _WIDTH, _PIECE = 17, 8192  # words of a training window, windows of a step of the gradient
 _WORD = re.compile(r"[^\W_]+")
@@ -144,62 +145,74 @@ def score_of(model: Model, mass: float, length: int) -> float:
     return float(1 / (1 + np.exp(-np.dot(model.logistic, evidence(mass, length)))))
 
 
-def _lexicon(texts: list[list[str]], labels: list[int]) -> list[str]:
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _lexicon(vocabulary: list[str], texts: list[np.ndarray], labels: list[int]) -> list[str]:
     """Features that speak for a toxic text: enough different contexts there, a significant log-likelihood ratio.
 
-    Of each word's features that pass only the most significant is kept.
+    Texts are the places of their words in the vocabulary. Of each word's features that pass only the most significant is kept.
     """
-    seen: set[int] = set()
-    toxic: Counter = Counter()  # word -> different contexts in toxic texts
-    other: Counter = Counter()
+    other = np.zeros(len(vocabulary), np.int64)
+    contexts, middles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]  # of toxic texts
     n1 = n0 = 0
     for words, label in zip(texts, labels, strict=True):
         if label:
             n1 += len(words)
-            for three in zip(["", *words], words, [*words[1:], ""]):
-                h = hash(three)
-                if h not in seen:
-                    seen.add(h)
-                    toxic[three[1]] += 1
+            around = np.concatenate([[0], words + 1, [0]]).astype(np.uint64)
+            contexts.append(around[:-2] * _A ^ around[1:-1] * _B ^ around[2:] * _C)
+            middles.append(words)
         else:
             n0 += len(words)
-            other.update(words)
+            other += np.bincount(words, minlength=len(vocabulary))
     if not (n0 and n1):
         return []
+    once = np.unique(np.concatenate(contexts), return_index=True)[1]
+    toxic = np.bincount(np.concatenate(middles)[once], minlength=len(vocabulary))
     y1: Counter = Counter()
     y0: Counter = Counter()
-    for word, n in toxic.items():
-        for f in features(word):
-            y1[f] += n
-    for word, n in other.items():
-        for f in features(word):
+    known = np.flatnonzero(toxic).tolist()
+    for k in known:
+        for f in features(vocabulary[k]):
+            y1[f] += int(toxic[k])
+    for k in np.flatnonzero(other).tolist():
+        for f in features(vocabulary[k]):
             if f in y1:
-                y0[f] += n
+                y0[f] += int(other[k])
 
     share = n1 / (n1 + n0)
 
     def strength(f: str) -> float:
         a, b = y1[f], y0[f]
+        if a < LEAST_CONTEXTS:
+            return 0.0
         g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
         odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        return float(g) if a >= LEAST_CONTEXTS and odds > LEAST_ODDS and g > LEAST_G else 0.0
+        return float(g) if odds > LEAST_ODDS and g > LEAST_G else 0.0
 
-    found = {max((strength(f), f) for f in features(word)) for word in toxic}
+    found = {max((strength(f), f) for f in features(vocabulary[k])) for k in known}
     return sorted(f for value, f in found if value)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on whole texts and their labels (1: toxic); without both labels the model knows the base rate only."""
-    same: dict[str, str] = {}  # one string for all places of a word
-    split = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]
+    number: dict[str, int] = {}
+    split = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+    vocabulary = list(number)
+    number.clear()
     model = Model()
     rate = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.05
     model.logistic = np.array([0.0, 0.0, np.log(rate / (1 - rate))])
-    lexicon = _lexicon(split, labels)
+    lexicon = _lexicon(vocabulary, split, labels)
     if not lexicon:
         return model
     model.words, model.weights = {w: i for i, w in enumerate(lexicon)}, np.zeros(len(lexicon))
-    ids, gold = _windows(model, split, labels)
+    known = np.full((len(vocabulary) + 1, len(BEGINNINGS) + 1), -1, np.int32)
+    for k, w in enumerate(vocabulary):
+        own = [j for f in features(w) if (j := model.words.get(f)) is not None]
+        known[k, : len(own)] = own
+    known[-1] = -2
+    ids, gold = _windows(known, split, labels)
     step = np.zeros(len(lexicon) + 5)
     step[-5] = -4.0
     moment, square = np.zeros_like(step), np.zeros_like(step)
@@ -209,41 +222,36 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         step = step + RATE * (moment / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
     model.weights, model.bias, model.transitions = step[: len(lexicon)], float(step[-5]), step[-4:].reshape(2, 2)
-    power, scores = _powers(model), Scores(model)
-    x = np.array([evidence(expected(model, w, power, scores)[0], len(w)) for w in split])
-    y, fitted = np.array(labels, float), model.logistic + [1.0, 0.0, 0.0]
+    power = _powers(model)
+    weight = np.append(model.weights, 0.0)[np.maximum(known[:-1], -1)].sum(1)  # of each word; place -1 is the 0 behind the weights
+    mass = []
+    for words in split:
+        places = np.flatnonzero(known[words, 0] >= 0)
+        mass.append(float(marginals(model, places.tolist(), weight[words[places]].tolist(), len(words), power).sum()) if len(places) else 0.0)
+    x = np.array([evidence(m, len(w)) for m, w in zip(mass, split)])
+    y, fitted_ = np.array(labels, float), model.logistic + [1.0, 0.0, 0.0]
     for _ in range(50):  # Newton steps of the logistic function, lightly damped
-        p = 1 / (1 + np.exp(-x @ fitted))
+        p = 1 / (1 + np.exp(-x @ fitted_))
         damping = np.array([0.1, 0.1, 0.01])
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(damping), x.T @ (y - p) - damping * fitted)
-        fitted = fitted + np.clip(step, -1, 1)
-    model.logistic = fitted
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(damping), x.T @ (y - p) - damping * fitted_)
+        fitted_ = fitted_ + np.clip(step, -1, 1)
+    model.logistic = fitted_
     return model
 
 
-def _windows(model: Model, split: list[list[str]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _windows(known: np.ndarray, split: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(features of the words of each window, their tags): windows around known words, up to ``FIT_WINDOWS`` spread over
-    a text, or one in the middle of a text without any. In the features -1 is none, -2 no word."""
-    number: dict[str, int] = {}
-    for words in split:
-        for w in words:
-            number.setdefault(w, len(number))
-    known = np.full((len(number) + 1, len(BEGINNINGS) + 1), -1, np.int32)
-    for w, k in number.items():
-        own = [j for f in features(w) if (j := model.words.get(f)) is not None]
-        known[k, : len(own)] = own
-    known[-1] = -2
-    ids, gold = [], []
+    a text, or one in the middle of a text without any. In the features -1 is none, -2 (the last row of ``known``) no word."""
+    ids, gold, none = [], [], len(known) - 1
     for words, label in zip(split, labels, strict=True):
-        own = np.fromiter((number[w] for w in words), np.int64, len(words))
-        hits = np.flatnonzero(known[own, 0] >= 0)
+        hits = np.flatnonzero(known[words, 0] >= 0)
         if len(hits) > FIT_WINDOWS:
             hits = hits[np.linspace(0, len(hits) - 1, FIT_WINDOWS).astype(np.int64)]
         elif not len(hits):
             hits = np.array([len(words) // 2])
         places = np.maximum(hits - _WIDTH // 2, 0)[:, None] + np.arange(_WIDTH)
         inside = places < np.minimum(hits + _WIDTH // 2 + 1, len(words))[:, None]
-        part = known[np.where(inside, np.append(own, len(number))[np.minimum(places, len(words))], len(number))]
+        part = known[np.where(inside, np.append(words, none)[np.minimum(places, len(words))], none)]
         ids.append(part)
         gold.append((part[..., 0] >= 0) & bool(label))
     return np.concatenate(ids), np.concatenate(gold)
@@ -315,7 +323,7 @@ def scorer(model: Model):
         power, scores = _powers(model), Scores(model)
         for texts in batches:
             out = []
-            for text in texts.to_pylist():
+            for text in (t for at in range(0, len(texts), SLICE) for t in texts.slice(at, SLICE).to_pylist()):
                 lower = lowered(text)
                 words = _WORD.findall(lower)
                 mass, places, p = expected(model, words, power, scores)
