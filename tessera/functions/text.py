@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
@@ -80,14 +80,22 @@ def lines(text: Column | str) -> Column:
     return F.transform(F.split(F.coalesce(_col(text), F.lit("")), r"\r\n|\n|\r"), lambda x: F.btrim(x, F.lit(" \t")))
 
 
-def deliverables(text: Column | str) -> Column:
-    """Bulleted lines with a (case-sensitive) deliverable word, and ``M1:`` to ``M5:`` lines; a default pair if none."""
+def or_default(found: Column, default: Sequence[str]) -> Column:
+    """An array, or the default where it is empty."""
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, default)))
+
+
+def deliverables_of(rows: Column) -> Column:
     bullet = lambda x: x.startswith("- ") & contains_any(x, K.DELIVERABLE_WORDS)
-    found = F.transform(
-        F.filter(lines(text), lambda x: bullet(x) | x.rlike("(?i)^M[1-5]:")),
+    return F.transform(
+        F.filter(rows, lambda x: bullet(x) | x.rlike("(?i)^M[1-5]:")),
         lambda x: F.when(x.startswith("- "), F.btrim(F.substring(x, F.lit(3), F.length(x)))).otherwise(x),
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, K.DEFAULT_DELIVERABLES)))
+
+
+def deliverables(text: Column | str) -> Column:
+    """Bulleted lines with a (case-sensitive) deliverable word, and ``M1:`` to ``M5:`` lines; a default pair if none."""
+    return or_default(deliverables_of(lines(text)), K.DEFAULT_DELIVERABLES)
 
 
 def milestones(text: Column | str) -> Column:
@@ -96,9 +104,12 @@ def milestones(text: Column | str) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v != "")
 
 
+def requirements_of(rows: Column) -> Column:
+    return F.filter(F.transform(F.filter(rows, lambda x: contains_any(x, K.REQUIREMENT_WORDS)), lambda x: F.btrim(x, F.lit("- "))), lambda x: x != "")
+
+
 def special_requirements(text: Column | str) -> Column:
-    found = F.filter(F.transform(F.filter(lines(text), lambda x: contains_any(x, K.REQUIREMENT_WORDS)), lambda x: F.btrim(x, F.lit("- "))), lambda x: x != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(K.DEFAULT_REQUIREMENT)))
+    return or_default(requirements_of(lines(text)), (K.DEFAULT_REQUIREMENT,))
 
 
 def modules(text: Column | str, functions: Column, delivered: Column) -> Column:
@@ -134,19 +145,44 @@ def profile(text: Column | str, platform_: Column, count: Column) -> Column:
     return F.create_map(*(x for k, v in zip(K.DIMENSIONS, values, strict=True) for x in (F.lit(k), v)))
 
 
-def request_record(text: Column | str, compat: bool = False) -> Column:
-    """The whole structured record of a request text."""
-    t = F.btrim(F.coalesce(_col(text), F.lit("")), F.lit(" \t\r\n"))
-    functions, delivered, kind = functions_in_scope(t), deliverables(t), platform(t)
-    parts = modules(t, functions, delivered)
-    distinct = F.size(F.array_distinct(F.flatten(F.transform(parts, lambda m: m["deliverables"]))))
-    count = F.when(distinct > 0, distinct).otherwise(F.size(delivered))
-    return F.struct(
+def inferred_profile(platform_: Column, functions: Column, n_deliverables: Column) -> Column:
+    """Profile of a parsed request without one: map of the platform, the scope (the one function, or the first three) and the
+    number of deliverables; what is not known is said to be so."""
+    names = F.coalesce(functions, F.array().cast("array<string>"))
+    scope = F.when(F.size(names) == 1, F.get(names, F.lit(0))).when(F.size(names) > 1, F.array_join(F.slice(names, 1, 3), "、")).otherwise(K.UNKNOWN)
+    count = F.when(n_deliverables > 0, F.concat(n_deliverables.cast("string"), F.lit("项"))).otherwise(K.UNKNOWN)
+    values = (or_else(platform_, F.lit(K.UNKNOWN)), F.lit(K.UNKNOWN), F.lit(K.UNKNOWN), or_else(scope, F.lit(K.UNKNOWN)), count)
+    return F.create_map(*(x for k, v in zip(K.DIMENSIONS, values, strict=True) for x in (F.lit(k), v)))
+
+
+def deliverable_total(modules_: Column) -> Column:
+    """How many deliverables the modules list, repeats counted; 0 without modules."""
+    each = F.transform(modules_, lambda m: F.greatest(F.size(m["deliverables"]), F.lit(0)))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(0))
+
+
+def request_records(rows: DataFrame, text: str = "text", name: str = "record", compat: bool = False) -> DataFrame:
+    """``rows`` and a column ``name``: the whole structured record of a request text.
+
+    The parts build on one another (the count on the modules, these on functions and deliverables), so they are columns of
+    their own, step by step: each is computed once, which one nested expression would not do. The last step is a generator of
+    one row, below which the optimiser moves no later filter, as that would paste all steps into its condition.
+    """
+    kept, t = rows.columns, F.col("_rq_text")
+    step = rows.withColumn("_rq_text", F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n")))
+    step = step.withColumns({"_rq_lines": lines(t), "_rq_found": matching(t, K.FUNCTIONS), "_rq_platform": platform(t)})
+    step = step.withColumns({"_rq_given": deliverables_of(F.col("_rq_lines")), "_rq_asked": requirements_of(F.col("_rq_lines")), "_rq_functions": or_default(F.col("_rq_found"), K.DEFAULT_FUNCTIONS)})
+    step = step.withColumns({"_rq_delivered": or_default(F.col("_rq_given"), K.DEFAULT_DELIVERABLES), "_rq_special": or_default(F.col("_rq_asked"), (K.DEFAULT_REQUIREMENT,))})
+    step = step.withColumn("_rq_modules", modules(t, F.col("_rq_functions"), F.col("_rq_delivered")))
+    step = step.withColumn("_rq_distinct", F.size(F.array_distinct(F.flatten(F.transform("_rq_modules", lambda m: m["deliverables"])))))
+    step = step.withColumn("_rq_count", F.when(F.col("_rq_distinct") > 0, F.col("_rq_distinct")).otherwise(F.size("_rq_delivered")))
+    record = F.struct(
         F.coalesce(project_name(t, compat), F.lit(K.UNNAMED_PROJECT)).alias("project_name"), F.coalesce(customer(t), F.lit(K.UNKNOWN)).alias("customer"),
-        kind.alias("platform_type"), functions.alias("functions_in_scope"), milestones(t).alias("milestones"), parts.alias("modules"),
-        special_requirements(t).alias("special_requirements"), months(t).alias("timeline_months"), count.alias("deliverable_count"),
-        profile(t, kind, F.greatest(count, F.size(delivered))).alias("profile"),
+        F.col("_rq_platform").alias("platform_type"), F.col("_rq_functions").alias("functions_in_scope"), milestones(t).alias("milestones"), F.col("_rq_modules").alias("modules"),
+        F.col("_rq_special").alias("special_requirements"), months(t).alias("timeline_months"), F.col("_rq_count").alias("deliverable_count"),
+        profile(t, F.col("_rq_platform"), F.greatest("_rq_count", F.size("_rq_delivered"))).alias("profile"),
     )
+    return step.select(*(c for c in kept if c != name), F.inline_outer(F.array(F.struct(record.alias(name)))))
 
 
 def document_class(name: Column | str) -> Column:

@@ -28,25 +28,24 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract(spark: SparkSession, d: str) -> DataFrame:
-    got = _requests(spark, d).withColumn("r", T.request_record("text"))
-    return got.select(
+    return T.request_records(_requests(spark, d), name="r").select(
         "request_id", "r.project_name", "r.customer", "r.platform_type", "r.timeline_months", F.array_join("r.functions_in_scope", ",").alias("functions"),
         F.array_join(F.transform("r.modules", lambda m: m["module_name"]), ",").alias("modules"), complexity("r.modules").alias("is_complex"), F.col("r.deliverable_count").alias("deliverable_count"),
     )
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    marks = T.milestones("text")
-    return _requests(spark, d).select(
-        "request_id", F.array_join(T.deliverables("text"), "|").alias("deliverables"), F.array_join(T.special_requirements("text"), "|").alias("requirements"),
-        F.try_element_at(marks, F.lit("P1")).alias("p1"), F.try_element_at(marks, F.lit("SOP")).alias("sop"),
-        F.array_join(F.transform(V.compact_milestones(marks), lambda m: m["milestone"]), ",").alias("given"),
+    got = T.request_records(_requests(spark, d), name="r").select("request_id", F.col("r.modules").alias("modules"), F.col("r.special_requirements").alias("asked"), F.col("r.milestones").alias("marks"), T.deliverables("text").alias("listed"))
+    got = got.withColumn("slots", V.compact_milestones(F.col("marks")))
+    return got.select(
+        "request_id", F.array_join("listed", "|").alias("deliverables"), F.array_join("asked", "|").alias("requirements"),
+        F.try_element_at("marks", F.lit("P1")).alias("p1"), F.try_element_at("marks", F.lit("SOP")).alias("sop"),
+        F.array_join(F.transform("slots", lambda m: m["milestone"]), ",").alias("given"),
     )
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    p = T.request_record("text")["profile"]
-    got = _requests(spark, d).select(p.alias("p"))
+    got = T.request_records(_requests(spark, d), name="r").select(F.col("r.profile").alias("p"))
     return got.select(F.explode("p").alias("dimension", "value")).groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 

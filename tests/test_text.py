@@ -9,13 +9,13 @@ from tessera.functions import values as V
 from tessera.operators.aggregates import confidence
 from tessera.operators.planning import baseline, plan
 
-REQUEST = """RFQ — Chassis development
-Customer: Mock Auto GmbH
+REQUEST = """RFQ — Rear axle carrier, second series
+Customer: Nordwagen AB
 Platform: MEB
-Project Duration: 20 months
-Scope: front axle, steering
+Project Duration: 14 months
+Scope: front axle, steering, development
 - M1 3D data
-M2: DMU report
+M2: clash list
 P1: 2026-03-01
 SOP | 2028-01-31"""
 
@@ -25,16 +25,21 @@ def one(spark, column, **values):
     return frame.select(column.alias("x")).first()["x"]
 
 
+def record(spark, text):
+    return T.request_records(spark.createDataFrame([(text,)], "text string")).first()["record"]
+
+
 def test_request(spark):
-    r = one(spark, T.request_record("text"), text=REQUEST)
-    assert (r["customer"], r["platform_type"], r["timeline_months"], r["project_name"]) == ("Mock Auto GmbH", "MEB", 20, "Chassis development")
+    r = record(spark, REQUEST)
+    assert (r["customer"], r["platform_type"], r["timeline_months"], r["project_name"]) == ("Nordwagen AB", "MEB", 14, "Rear axle carrier, second series")
     assert r["milestones"] == {"P1": "2026-03-01", "SOP": "2028-01-31"}
-    assert [m["module_name"] for m in r["modules"]] == ["Project Management", "Front suspension", "Steering"]  # "pm" is in "development"
+    assert [m["module_name"] for m in r["modules"]] == ["Project Management"]  # "pm" is in "development"; nothing says chassis
+    assert r["deliverable_count"] == 2 and r["profile"]["交付物数量"] == "2项"
 
 
 def test_request_of_nothing(spark):
     for text in (None, "", "   "):
-        r = one(spark, T.request_record("text"), text=text)
+        r = record(spark, text)
         assert (r["customer"], r["timeline_months"], list(r["functions_in_scope"])) == ("未知", 20, ["PM", "Chassis"])
 
 
