@@ -41,3 +41,7 @@ TASK_STATES = (("pending", 0), ("parsing", 20), ("retrieving", 50), ("generating
 QUOTABLE_REVIEWS = ("in_review", "approved", "exported")
 UPLOAD_LIMIT = 50 * 1024 * 1024
 STORED_CHARS, SUMMARY_CHARS, ERROR_CHARS, QUERY_CHARS, NAME_CHARS = 8000, 120, 200, 500, 80
+
+# Functions of the summary sheet, in its order, and their descriptions.
+SUMMARY_SHEET = "Manpower"
+SUMMARY_FUNCTIONS = (("PM", "Project Management"), ("Chassis", "Chassis Engineering"))

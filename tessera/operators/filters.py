@@ -35,6 +35,11 @@ def uploads(files: DataFrame, limit: int = K.UPLOAD_LIMIT) -> DataFrame:
     return files.where(ok).withColumn("stored_name", F.concat(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit("_"), basename("name")))
 
 
+def store_uploads(files: DataFrame, folder: str, limit: int = K.UPLOAD_LIMIT) -> None:
+    """The files that may be stored, with their bytes and unique names, appended to the table at ``folder``."""
+    uploads(files, limit).write.mode("append").parquet(folder)
+
+
 def index_status(docs: DataFrame, failed: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` and ``status``, ``error``: failed (``failed(key, error)``) beats indexed (``stored(key)``) beats pending."""
     bad = failed.groupBy(key).agg(F.min(F.coalesce("error", F.lit(""))).alias("_error"))

@@ -46,6 +46,21 @@ def chunk_record(doc_id: Column, text: Column, meta: Column) -> list[Column]:
     return [doc_id.alias("doc_id"), F.left(text, F.lit(K.STORED_CHARS)).alias("text"), F.map_filter(meta, lambda _, v: v.isNotNull()).alias("meta"), content_hash(text).alias("hash")]
 
 
+def metadata_of(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids(doc_id)`` and ``found``, ``meta`` of each: null metadata for an id that is not stored."""
+    known = stored.select("doc_id", F.lit(True).alias("_there"), "meta")
+    return ids.join(known, "doc_id", "left").select("doc_id", F.coalesce("_there", F.lit(False)).alias("found"), "meta")
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the values that ``changes`` (one row a key, any of the columns) give, null for no change; changes to
+    unknown keys are ignored."""
+    names = [c for c in changes.columns if c != key]
+    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in names))
+    joined = rows.join(new, key, "left")
+    return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in rows.columns))
+
+
 class Versions:
     """A table kept as numbered Parquet folders; readers take the newest complete one, so a rewrite never touches what is read."""
 

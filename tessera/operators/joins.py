@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
@@ -10,10 +10,12 @@ from tessera.functions.text import or_else
 from tessera.functions.values import jaccard
 
 
-def first_per(rows: DataFrame, key: str | list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order`` (give a total order, else ties are arbitrary)."""
+def first_per(rows: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by the columns ``order``, ascending, nulls first (give a total order, else ties are arbitrary).
+    An aggregate, so rows fall together before the shuffle however many a key has."""
     keys = [key] if isinstance(key, str) else key
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first"))
+    return best.select("_first.*")
 
 
 def projects_of_hits(hits: DataFrame, reference: DataFrame) -> DataFrame:
@@ -101,3 +103,23 @@ def best_scope(requests: DataFrame, projects: DataFrame, weight: Column | None =
 def unmapped(scope: DataFrame, mapping: DataFrame, item: str = "item") -> DataFrame:
     """Specified only: scope items that no ``mapping(item)`` covers."""
     return scope.join(mapping.select(item).distinct(), item, "left_anti")
+
+
+def with_hit(projects: DataFrame, hits: DataFrame, chars: int = 300) -> DataFrame:
+    """``projects`` and ``chunk``: the start of the content of the first hit (by ``hit_id``) of that ``project_name``."""
+    first = first_per(hits.select("project_name", "hit_id", "content"), "project_name", ["hit_id"])
+    return projects.join(first.select("project_name", F.left("content", F.lit(chars)).alias("chunk")), "project_name", "left")
+
+
+def questions_of_top(hits: DataFrame, manifests: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
+    """Specified only: the question rows of the ``top`` best hits ``(query_id, engagement_id, rank)``: through the package
+    manifest ``(engagement_id, path)`` to ``questions(path, ...)``. A hit without a package, or a package without rows, gives none."""
+    best = hits.where(F.col("rank") <= top).select("query_id", "engagement_id", "rank")
+    return best.join(manifests.select("engagement_id", "path"), "engagement_id").join(questions, "path")
+
+
+def baselines_of_best(best: DataFrame, baselines: DataFrame, scope: DataFrame) -> DataFrame:
+    """Specified only: for each request the baseline rows of its best project, of the functions in its scope; a function in
+    scope without a baseline row has nulls. ``best(request_id, project_id)``, ``baselines(project_id, function, ...)``, ``scope(request_id, function)``."""
+    wanted = scope.join(best.select("request_id", "project_id"), "request_id")
+    return wanted.join(baselines, ["project_id", "function"], "left")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import first_per
-
 
 def recent(tasks: DataFrame, limit: int = 20, unique: bool = True) -> DataFrame:
     """The newest tasks; ``unique``: the newest of each file among the newest ``5 * limit`` (1 to 100), at most ``limit``."""
@@ -14,12 +12,27 @@ def recent(tasks: DataFrame, limit: int = 20, unique: bool = True) -> DataFrame:
     if not unique:
         return tasks.orderBy(*order).limit(max(1, min(limit, 100)))
     few = tasks.orderBy(*order).limit(max(1, min(limit * 5, 100)))
-    return first_per(few, "file_name", order).orderBy(*order).limit(limit)
+    newest = few.withColumn("_n", F.row_number().over(Window.partitionBy("file_name").orderBy(*order))).where("_n = 1").drop("_n")
+    return newest.orderBy(*order).limit(limit)
+
+
+def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of every key that is largest by the columns ``order``: the exact form of ``recent``, without a limit before it.
+    An aggregate, so rows fall together before the shuffle however many a key has."""
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_last"))
+    return best.select("_last.*")
+
+
+def by_ratio(rows: DataFrame, ratio: str, name: str) -> DataFrame:
+    """Rows by falling ratio, null last, ties by name."""
+    return rows.orderBy(F.desc_nulls_last(ratio), name)
 
 
-def latest(rows: DataFrame, key: str, order: list) -> DataFrame:
-    """The latest row of every key: the exact form of ``recent``, without a limit before it."""
-    return first_per(rows, key, order)
+def top_with_warning(hits: DataFrame, key: str, order: list, n: int = 3) -> DataFrame:
+    """Specified only: the ``n`` first hits of each key, with ``rank`` and ``warning`` where there are fewer than ``n``."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+    few = F.count("*").over(Window.partitionBy(key)) < n
+    return ranked.withColumn("warning", F.when(few, F.concat(F.lit("fewer than "), F.lit(str(n)), F.lit(" similar projects"))))
 
 
 def argmax_first(rows: DataFrame, key: str, score: Column, order: str, value: str) -> DataFrame:

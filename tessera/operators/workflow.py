@@ -45,3 +45,13 @@ def current_states(events: DataFrame, key: str, order: list[str], status: str =
     """The latest state and its progress of each task, from its events; combines before the shuffle."""
     last = F.max_by(status, F.struct(*order))
     return events.groupBy(key).agg(last.alias(status), F.count("*").alias("n_events")).withColumn("progress", progress(F.col(status)))
+
+
+def artefact_state(path: Column, exists: Column) -> Column:
+    """``ready`` for a stored artefact, ``never generated`` without a path, ``missing`` where its file is gone."""
+    return F.when(F.coalesce(F.length(path), F.lit(0)) == 0, "never generated").when(F.coalesce(exists, F.lit(False)), "ready").otherwise("missing")
+
+
+def with_project_name(draft: Column, name: Column) -> Column:
+    """A copy of a draft (a struct with ``project_name``) under the task's project name, if it has one."""
+    return draft.withField("project_name", F.coalesce(F.nullif(name, F.lit("")), draft["project_name"]))

@@ -14,14 +14,14 @@ from tessera.streaming import feeds
 
 
 def _sets(spark: SparkSession, d: str, above: float) -> DataFrame:
-    """``user_id, functions``: each user's event types with a value above a bound, sorted."""
-    rows = table(spark, d, "events").where(F.col("value") > above)
-    return rows.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("functions"))
+    """``user_id, functions``: for each user the event types that reach a value above a bound (none of them: empty), sorted."""
+    reached = F.collect_set(F.when(F.col("value") > above, F.col("event_type")))  # as many as there are types
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_sort(reached).alias("functions"))
 
 
 def latest_task(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
-    return ranking.latest(rows, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    return ranking.latest(rows, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 def overlap_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +213,7 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sets_sql(above: float) -> str:
-    return f"(SELECT user_id, list_sort(list_distinct(list(event_type))) AS f FROM events WHERE value > {above} GROUP BY user_id)"
+    return f"(SELECT user_id, coalesce(list_sort(list_distinct(list(event_type) FILTER (WHERE value > {above}))), []) AS f FROM events GROUP BY user_id)"
 
 
 _OUTCOMES = """n AS (SELECT doc_id, sha256(text) AS h FROM documents),

@@ -72,17 +72,17 @@ def json_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "pages").select(F.concat(F.col("url"), F.when(F.col("url").contains("/en/"), ".docx").otherwise(".DOC")).alias("name"), F.col("html").cast("binary").alias("content"))
-    return filters.uploads(files, 4000).groupBy(T.basename(F.split_part("stored_name", F.lit("_"), F.lit(2))).alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes"))
+    return filters.uploads(files).groupBy(T.basename(F.split_part("stored_name", F.lit("_"), F.lit(2))).alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes"))
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
     got = table(spark, d, "orders").select(
         F.when(F.col("o_orderstatus") == "F", "completed").otherwise("parsing").alias("status"),
-        F.element_at(F.array(*map(F.lit, ("draft", "in_review", "approved", "exported", "draft"))), F.left("o_orderpriority", F.lit(1)).cast("int")).alias("review"), (F.col("o_totalprice") > 1000).alias("parsed"),
+        F.element_at(F.array(*map(F.lit, ("draft", "in_review", "approved", "exported", "draft"))), F.left("o_orderpriority", F.lit(1)).cast("int")).alias("review"), (F.col("o_totalprice") > 1000).alias("parsed"), F.when(F.col("o_orderkey") % 3 == 0, "approved").when(F.col("o_orderkey") % 3 == 1, "").alias("asked"),
     )
     reason = workflow.gate(F.col("status"), F.col("review"), F.col("parsed"))
-    after = workflow.review(F.col("review"), F.lit(None).cast("string"), F.col("parsed"))
-    return got.groupBy("status", "review", F.coalesce(reason, F.lit("")).alias("reason"), after.alias("after_confirm"), workflow.after_quote(F.col("review")).alias("after_quote"), workflow.progress(F.col("status")).alias("progress")).agg(F.count("*").alias("n"))
+    after = workflow.review(F.col("review"), F.col("asked"), F.col("parsed"))
+    return got.groupBy("status", "review", F.coalesce("asked", F.lit("")).alias("asked"), F.coalesce(reason, F.lit("")).alias("reason"), after.alias("after_confirm"), workflow.after_quote(F.col("review")).alias("after_quote"), workflow.progress(F.col("status")).alias("progress")).agg(F.count("*").alias("n"))
 
 
 def display(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ ORACLE = {
           {{'d': '仿真类型', 'v': CASE WHEN contains({_LOW}, 'load') THEN '正面+偏置' ELSE '基础载荷' END}}, {{'d': '内外饰范围', 'v': 'Chassis'}}, {{'d': '交付物数量', 'v': concat(greatest(c, 2), '项')}}]) AS x FROM n)
         SELECT x.d AS dimension, x.v AS value, count(*) AS n FROM long GROUP BY ALL""",
     "safe_filename": r"SELECT p_partkey, left(trim(regexp_replace(concat('__', p_name, ' / 底盘 ', p_type, ' (v1)'), '[^\p{L}\p{N}_\-]+', '_', 'g'), '_'), 40) AS file_name FROM part",
-    "doc_type_from_name": r"""WITH x AS (SELECT lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '[^/\\]*$')) AS a, lower(concat(url, '_', left(html, 400))) AS b FROM pages)
+    "doc_type_from_name": r"""WITH x AS (SELECT lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '[^/\\]*$')) AS a, lower(concat(url, '_', html)) AS b FROM pages)
         SELECT by_name, by_content, count(*) AS n FROM (SELECT CASE WHEN contains(a, 'rfq') THEN 'rfq' WHEN contains(a, 'qa') OR contains(a, 'q_a') THEN 'qa' WHEN contains(a, 'quote') THEN 'quote_manpower' ELSE 'summary' END AS by_name,
           CASE WHEN contains(b, 'rfq') THEN 'rfq' WHEN contains(b, 'qa') OR contains(b, 'q_a') THEN 'qa' WHEN contains(b, 'quote') THEN 'quote_manpower' ELSE 'summary' END AS by_content FROM x) GROUP BY ALL""",
     "title_case_paths": r"""SELECT p_partkey, array_to_string([concat(upper(x[1]), x[2:]) for x in regexp_extract_all(lower(concat('2023', replace(p_name, ' ', ' '), ' oem-a')), '\p{L}+|\P{L}+')], '') AS project,
@@ -164,10 +164,10 @@ ORACLE = {
     "json_safe_parse": rf"""WITH a AS (SELECT event_id, {ANSWER} AS a FROM events), b AS (SELECT event_id, a, trim(coalesce(nullif(regexp_extract(a, '(?s)```(?:json)?\s*(.*?)\s*```', 1), ''), a)) AS j FROM a)
         SELECT event_id, NOT json_valid(j) AS parse_error, CASE WHEN json_valid(j) THEN CAST(json_extract_string(j, '$.k') AS INTEGER) END AS k, CAST(CASE WHEN NOT json_valid(j) THEN length(a) END AS INTEGER) AS raw_chars FROM b""",
     "upload_gate": r"""WITH f AS (SELECT regexp_extract(concat(url, CASE WHEN contains(url, '/en/') THEN '.docx' ELSE '.DOC' END), '[^/\\]*$') AS name, octet_length(encode(html)) AS b FROM pages)
-        SELECT split_part(name, '_', 1) AS name, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM f WHERE ends_with(lower(name), '.docx') AND b <= 4000 GROUP BY 1""",
-    "workflow_gates": """WITH t AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'parsing' END AS status, ['draft', 'in_review', 'approved', 'exported', 'draft'][CAST(left(o_orderpriority, 1) AS INTEGER)] AS review, o_totalprice > 1000 AS parsed FROM orders)
-        SELECT status, review, CASE WHEN status <> 'completed' THEN 'not completed' WHEN review NOT IN ('in_review', 'approved', 'exported') THEN 'not reviewed' WHEN NOT parsed THEN 'not parsed' ELSE '' END AS reason,
-          CASE WHEN parsed AND review = 'draft' THEN 'in_review' ELSE review END AS after_confirm, CASE WHEN review = 'in_review' THEN 'approved' ELSE review END AS after_quote, CASE status WHEN 'completed' THEN 100 ELSE 20 END AS progress, count(*) AS n FROM t GROUP BY ALL""",
+        SELECT split_part(name, '_', 1) AS name, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM f WHERE ends_with(lower(name), '.docx') AND b <= 52428800 GROUP BY 1""",
+    "workflow_gates": """WITH t AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'parsing' END AS status, ['draft', 'in_review', 'approved', 'exported', 'draft'][CAST(left(o_orderpriority, 1) AS INTEGER)] AS review, o_totalprice > 1000 AS parsed, CASE o_orderkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN '' END AS asked FROM orders)
+        SELECT status, review, coalesce(asked, '') AS asked, CASE WHEN status <> 'completed' THEN 'not completed' WHEN review NOT IN ('in_review', 'approved', 'exported') THEN 'not reviewed' WHEN NOT parsed THEN 'not parsed' ELSE '' END AS reason,
+          CASE WHEN parsed AND coalesce(nullif(asked, ''), review) = 'draft' THEN 'in_review' ELSE coalesce(nullif(asked, ''), review) END AS after_confirm, CASE WHEN review = 'in_review' THEN 'approved' ELSE review END AS after_quote, CASE status WHEN 'completed' THEN 100 ELSE 20 END AS progress, count(*) AS n FROM t GROUP BY ALL""",
     "display_formats": """SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN concat(n_chars * 37, ' B') WHEN n_chars * 37 < 1048576 THEN printf('%.1f KB', round(n_chars * 37 / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(n_chars * 37 / 1024.0::DOUBLE / 1024.0::DOUBLE, 1)) END AS size,
         CASE WHEN n_chars % 100 >= 70 THEN 'high' WHEN n_chars % 100 >= 40 THEN 'medium' ELSE 'low' END AS bucket, concat(n_chars % 100, '%') AS percent FROM documents""",
     "label_dictionary": "SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE lang END AS label, count(*) AS n FROM documents GROUP BY 1",

@@ -24,6 +24,11 @@ def prompts(spark: SparkSession, template_path: str, requests: DataFrame, placeh
     return requests.withColumn("prompt", fill_prompt(F.lit(template), placeholder, F.coalesce("text", F.lit(""))))
 
 
+def versioned(root: str, version: str, name: str) -> str:
+    """Where a prompt of that name and version is; the version is a setting, so an older one stays usable."""
+    return f"{root.rstrip('/')}/{version}/{name}.txt"
+
+
 def ask(url: str, model: str) -> Callable[[str], str]:
     def call(prompt: str) -> str:
         body = json.dumps({"model": model, "prompt": prompt, "stream": False, "format": "json"}).encode()

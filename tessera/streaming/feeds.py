@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tessera.operators.ingest import Versions, pending, upsert
+from tessera.operators.ingest import Versions, classify, counters, pending, upsert
 from tessera.operators.workflow import progress
-from tessera.sources.documents import FILE, described, extract
+from tessera.sources.documents import FILE, described, extract, scan
 
 
 def read_events(spark: SparkSession, path: str, schema, files_each: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -66,3 +66,14 @@ def ingest_files(spark: SparkSession, root: str, store: Versions, dead_letters:
 
     files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(root)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def reindex(spark: SparkSession, root: str, store: Versions) -> DataFrame:
+    """Builds the whole table anew from the files of ``root``; readers see the old one until the new one is complete.
+    Returns the counters of what changed."""
+    old = store.read()
+    rows = described(scan(spark, root), root).withColumn("x", extract("content")).where("x.error is null")
+    store.write(rows.select("doc_id", "project_name", "doc_type", "hash", "x.text"))
+    new = store.read()
+    none = new.limit(0).select("doc_id", "hash")
+    return counters(classify(new.select("doc_id", "hash"), none if old is None else old.select("doc_id", "hash")))

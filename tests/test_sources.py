@@ -74,7 +74,7 @@ def test_grids(spark, tmp_path):
     assert {(r["row"], r["col"]): r["value"] for r in grid.collect()}[(3, 2)] == "why?"
     workbooks.write_xlsx(grid, str(tmp_path / "q.xlsx"))
     assert (tmp_path / "q.xlsx").stat().st_size > 500
-    assert registry.names() == ["project_information", "questions", "staffing"]
+    assert registry.names() == ["project_information", "questions", "staffing", "staffing_summary"]
     with pytest.raises(KeyError):
         registry.create("unknown")
 
@@ -140,3 +140,50 @@ def test_a_failing_model_is_a_value(spark):
     got = {r["id"]: r for r in models.complete(rows, call).collect()}
     assert got[1]["answer"] and got[1]["attempts"] == 1
     assert got[2]["answer"] is None and got[2]["attempts"] == 3 and "down" in got[2]["error"]
+
+
+def test_workbooks_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "why <b>?", "PM", "高", None), (3, "how", "", "低", "A / B")], "no int, question string, function string, impact string, history_reference string")
+    workbooks.write_xlsx(registry.create("questions")(rows), str(tmp_path / "q.xlsx"))
+    (tmp_path / "bad.xlsx").write_bytes(b"no archive")
+    files = documents.scan(spark, str(tmp_path), "*.xlsx")
+    grid = workbooks.read_workbooks(files)
+    assert [r["error"] is not None for r in grid.where("path like '%bad.xlsx'").collect()] == [True]
+    got = workbooks.question_rows(grid.where("error is null")).orderBy("row").collect()
+    assert [(r["row"], r["no"], r["question"], r["function"], r["history_reference"]) for r in got] == [(2, "1", "why <b>?", "PM", None), (4, "3", "how", None, "A / B")]
+
+
+def test_baselines_come_back_from_a_quote(spark, tmp_path):
+    from tessera.operators.planning import baseline, plan
+
+    projects = spark.createDataFrame([(1, "default", 20, False)], "project_id int, baseline_key string, months int, is_complex boolean")
+    planned = plan(projects, baseline(spark))
+    grid = workbooks.staffing_grid(planned).unionByName(workbooks.summary_grid(planned))
+    assert {(r["row"], r["col"]): r["value"] for r in grid.where("sheet = 'Manpower'").collect()} == {(3, 1): "PM", (3, 2): "Project Management", (3, 3): "8.0", (4, 1): "Chassis", (4, 2): "Chassis Engineering", (4, 3): "50.0"}
+    workbooks.write_xlsx(grid, str(tmp_path / "quote.xlsx"))
+    got = workbooks.baselines_of(workbooks.read_workbooks(documents.scan(spark, str(tmp_path), "*.xlsx")))
+    rows = {r["position"]: (r["function"], r["tariff"], r["man_days"], r["share"]) for r in got.collect()}
+    assert rows["PM"] == ("PM", "TE", 132.0, 0.75) and rows["PMA"][3] == 0.25 and len(rows) == 7
+    none = workbooks.summary_grid(planned.limit(0))
+    assert [r["value"] for r in none.where("col = 3").collect()] == ["0.0", "0.0"]
+
+
+def test_jobs_count_what_they_take(spark, store):
+    from tessera import jobs
+    from tessera.streaming.feeds import reindex
+
+    table = str(store / "table")
+    assert jobs.ingest(spark, str(store / "kb"), table) == {"n_new": 2, "n_changed": 0, "n_unchanged": 0, "n_deleted": 0, "n_total": 2}
+    assert jobs.ingest(spark, str(store / "kb"), table)["n_unchanged"] == 2
+    documents.write_docx(str(store / "kb" / "oem_a" / "x_rfq.docx"), "Title", "changed")
+    (store / "kb" / "oem_b" / "y_summary.docx").unlink()
+    again = reindex(spark, str(store / "kb"), ingest.Versions(spark, table)).first().asDict()
+    assert (again["n_changed"], again["n_deleted"], again["n_total"]) == (1, 1, 1)
+
+
+def test_uploads_are_stored_with_their_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([("a.docx", bytearray(b"xy")), ("c.pdf", bytearray(b"x"))], "name string, content binary")
+    for _ in range(2):
+        filters.store_uploads(rows, str(tmp_path / "uploads"))
+    got = spark.read.parquet(str(tmp_path / "uploads")).collect()
+    assert [bytes(r["content"]) for r in got] == [b"xy"] * 2 and len({r["stored_name"] for r in got}) == 2
