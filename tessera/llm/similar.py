@@ -5,7 +5,9 @@ no key in common with probability ``(1 - J ** ROWS) ** BANDS``, 3.2e-6 at 0.8 an
 ``AGREE`` minima agree are left (at 0.8 that is 4.3 standard deviations off); the others are verified on their whole texts.
 
 A key that many sets share would give a pair for each two. So each set is first compared to one of the smallest sets of its
-keys, the one it shares most keys with (a star, linear in the rows), and only keys whose sets have not all met give pairs.
+keys, the one it shares most keys with (a star, linear in the rows). Then, ``TURNS`` times, keys whose sets are not all connected
+pick another hub, to which those that are not connected with it are compared; in a large group of near copies each of these turns
+connects most of what is left. Only pairs that are still apart after that are compared one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 AGREE = 60  # of all minima; at 0.8 fewer agree once in a hundred thousand
 SLICE = 256
+TURNS = 5
 _STEP = 4096
 _RANDOM = np.random.default_rng(42)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,31 +105,52 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct ``sets(s, minima, _row)`` and their ``texts(_row, text)`` -> links ``(a, b)`` between similar ones."""
+    """Distinct ``sets(s, minima, _row)`` and their ``texts(_row, text)`` -> links ``(a, b)`` that connect what similarity connects."""
     low = sets.select("s", "minima")
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(low.toDF("a", "ma").hint("merge"), "a").join(low.toDF("b", "mb").hint("merge"), "b")  # too wide to pass the driver
-        return both.select("a", "b", agreeing("ma", "mb").alias("n")).where(F.col("n") >= AGREE)
+        return both.select("a", "b", agreeing("ma", "mb").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-        held = cut(nodes.join(sets.select("s", "_row"), "s").join(texts.select("_row", F.col("text").cast("binary").alias("text")).hint("merge"), "_row").select("s", "text"))
+        nodes = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(sets.select("s", "_row"), "s")
+        # a written table: if it is small, Spark sends it to the texts rather than moving these
+        held = cut(texts.select("_row", F.col("text").cast("binary").alias("text")).join(saved(nodes, "nodes"), "_row").select("s", "text"))
         both = pairs.join(held.toDF("a", "ta").hint("merge"), "a").join(held.toDF("b", "tb").hint("merge"), "b")
-        return cut(both.where(similar_udf("ta", "tb")).select("a", "b"))
+        return saved(both.where(similar_udf("ta", "tb")).select("a", "b"), "similar-links")
 
     index = low.mapInArrow(_band_keys, "key long, s long")
     heads = cut(index.groupBy("key").agg(F.min("s").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"))
-    shared = cut(index.join(heads, "key"))
+    shared = saved(index.join(heads, "key"), "shared")
     first = shared.where("s <> b").groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("n"))
     first = cut(first.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b"))
-    star = verified(cut(close(first).select("a", "b")))
-    tops = components(star).toDF("s", "top")
-    marked = cut(shared.select("key", "s").join(tops, "s", "left").select("key", "s", F.coalesce("top", "s").alias("top")))
-    mixed = cut(marked.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("key"))
-    open_ = cut(marked.join(mixed, "key"))
+    links = verified(cut(close(first)))
+    tops = components(links).toDF("s", "top")
+    marked = shared.select("key", "s").join(tops, "s", "left").select("key", "s", F.coalesce("top", "s").alias("top"))
+    for turn in range(TURNS):
+        open_ = saved(_open(marked), "open")
+        if open_.isEmpty():
+            return links
+        order = F.xxhash64("s", F.lit(turn))
+        hubs = saved(open_.groupBy("key").agg(F.min_by(F.struct(F.col("s").alias("b"), F.col("top").alias("tb")), order).alias("h")).select("key", "h.b", "h.tb"), "hubs")
+        pairs = cut(open_.join(hubs, "key").where("top <> tb").select(F.col("s").alias("a"), "b").distinct())
+        new = verified(cut(close(pairs)))
+        if not new.isEmpty():
+            links = links.union(new)
+            of = open_.select("s", "top").distinct()
+            moved = new.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+            roots = components(moved).toDF("top", "root")
+            open_ = open_.join(roots, "top", "left").select("key", "s", F.coalesce("root", "top").alias("top"))
+        marked = open_
+    open_ = saved(_open(marked), "open")
     pairs = open_.toDF("key", "a", "ta").join(open_.toDF("key", "b", "tb"), "key").where("a < b and ta <> tb").select("a", "b").distinct()
-    return star.union(verified(cut(close(cut(pairs)).select("a", "b"))))
+    return links.union(verified(cut(close(cut(pairs)))))
+
+
+def _open(marked: DataFrame) -> DataFrame:
+    """The rows ``key, s, top`` of keys whose sets are not all connected."""
+    mixed = marked.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("key")
+    return marked.join(mixed, "key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
