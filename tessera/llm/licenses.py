@@ -5,7 +5,8 @@ words as the template has, from the beginning of each line and sentence on; so a
 line, is wrapped, or follows comment marks, which are blanks in the comparison. A segment's size bounds its best
 coefficient, so only sizes that can reach the threshold are compared.
 
-Before any segment is cut, the whole text must hold words of the template: a set of words without whose bigrams the rest
+Before any segment is cut, the words of the whole text that stand in any template are taken out of it, and of each
+template some must be there: a set of words without whose bigrams the rest
 is too little to reach the threshold must be met by one word at least, and so must each of several such sets without
 a common word. A text that fails one of them cannot be near, so this loses nothing; a long template is only compared
 to texts that hold much of it, however many templates there are.
@@ -55,17 +56,20 @@ def normalise(c: Column) -> Column:
     return F.btrim(F.replace(F.regexp_replace(F.lower(c), "[^a-z0-9.]+", " "), F.lit(". "), F.lit(" ")), F.lit(" ."))
 
 
-def candidates(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Places (from 1) in ``TEMPLATES`` of those that the text may hold."""
-    low = F.lower(text)
+def words_in(text: Column, threshold: float = THRESHOLD) -> Column:
+    """The different words of a text that some template needs. Dots at the edges of a word are left out, as template words have none."""
+    known = sorted({w for _, t in TEMPLATES for words in needed(t, threshold) for w in words})
+    whole = F.regexp_replace(F.lower(text), "[^a-z0-9.]+|[.]+(?![a-z0-9])|(?<![a-z0-9])[.]+", " ")
+    return F.array_intersect(F.split(whole, " +"), F.array(*map(F.lit, known)))
+
+
+def candidates(words: Column, threshold: float = THRESHOLD) -> Column:
+    """Places (from 1) in ``TEMPLATES`` of those that a text with these words may hold."""
     found = []
     for k, (_, template) in enumerate(TEMPLATES, 1):
         near = F.lit(True)
-        for words in needed(template, threshold):
-            one = F.lit(False)
-            for w in words:
-                one = one | low.contains(w)
-            near = near & one
+        for one_of in needed(template, threshold):
+            near = near & F.arrays_overlap(words, F.array(*map(F.lit, one_of)))
         found.append(F.when(near, F.lit(k)))
     return F.array_compact(F.array(*found))
 
@@ -77,13 +81,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null or empty texts meet nothing; repeated rows are reported each (with equal values); a null id is reported as null.
     Other columns are not looked at.
     """
-    first = {w for _, t in TEMPLATES for w in needed(t, threshold)[0]}
-    some = F.lower("text").rlike("|".join(re.escape(w) for w in sorted(first) if not any(o != w and o in w for o in first)))
-    kept = docs.select("doc_id", "text").where(some).select("doc_id", "text", F.monotonically_increasing_id().alias("row"), candidates(F.col("text"), threshold).alias("near"))
+    # a generator of one row: the words are computed once, not again in the filter behind it
+    held = docs.select("doc_id", "text", F.inline_outer(F.array(F.struct(words_in(F.col("text"), threshold).alias("words")))))
+    held = held.where(F.size("words") >= min(len(needed(t, threshold)) for _, t in TEMPLATES))
+    kept = held.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), candidates(F.col("words"), threshold).alias("near"))
     grams_of = F.array(*(F.array(*map(F.lit, bigrams_of(t))) for _, t in TEMPLATES))
     names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
     sizes = F.array(*(F.lit(len(words_of(t))) for _, t in TEMPLATES))
-    pairs = kept.where(F.size("near") > 0).select("row", "doc_id", "text", F.explode("near").alias("t"))
+    pairs = kept.select("row", "doc_id", "text", F.explode("near").alias("t"))
     pieces = F.split(F.regexp_replace("text", "([.!?]) +", "$1\n"), "\n")
     whole = F.concat(F.lit("\n"), F.array_join(F.filter(F.transform(pieces, normalise), lambda p: p != ""), "\n"))
     window = F.concat(F.lit("\\n(?=((?:[^ \\n]+[ \\n]){0,"), (F.element_at(sizes, F.col("t")) - 1).cast("string"), F.lit("}[^ \\n]+))"))
@@ -92,7 +97,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     segments = F.array_union(F.transform(parts, normalise), windows)
     lines = pairs.select("row", "doc_id", "t", F.explode(segments).alias("line"))
     words = F.split("line", " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i))))
+    next_to = F.greatest(F.size("words") - 1, F.lit(0))
+    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), next_to), F.slice("words", F.lit(2), next_to), lambda a, b: F.concat_ws(" ", a, b)))
     n, own = F.size("grams"), F.size("own")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     count = F.size(F.element_at(grams_of, F.col("t")))

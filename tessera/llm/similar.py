@@ -28,7 +28,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 AGREE = 60  # of all minima; at 0.8 fewer agree once in a hundred thousand
 SLICE = 256
-TURNS = 5
+TURNS = 1
 _STEP = 4096
 _RANDOM = np.random.default_rng(42)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
