@@ -88,14 +88,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grams_of = F.array(*(F.array(*map(F.lit, bigrams_of(t))) for _, t in TEMPLATES))
     names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
     sizes = F.array(*(F.lit(len(words_of(t))) for _, t in TEMPLATES))
-    pairs = kept.select("row", "doc_id", "text", F.explode("near").alias("t"))
+    pairs = kept.select("row", "doc_id", "text", F.explode_outer("near").alias("t")).where("t is not null")  # an outer one, so that no filter repeats what it explodes
     pieces = F.split(F.regexp_replace("text", "([.!?]) +", "$1\n"), "\n")
     whole = F.concat(F.lit("\n"), F.array_join(F.filter(F.transform(pieces, normalise), lambda p: p != ""), "\n"))
     window = F.concat(F.lit("\\n(?=((?:[^ \\n]+[ \\n]){0,"), (F.element_at(sizes, F.col("t")) - 1).cast("string"), F.lit("}[^ \\n]+))"))
     windows = F.transform(F.regexp_extract_all(whole, window, F.lit(1)), lambda w: F.replace(w, F.lit("\n"), F.lit(" ")))
     parts = F.array_union(F.array_union(F.split("text", "\n"), pieces), F.split("text", "\n\n+"))
     segments = F.array_union(F.transform(parts, normalise), windows)
-    lines = pairs.select("row", "doc_id", "t", F.explode(segments).alias("line"))
+    lines = pairs.select("row", "doc_id", "t", F.explode_outer(segments).alias("line"))
     words = F.split("line", " ")
     next_to = F.greatest(F.size("words") - 1, F.lit(0))
     grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), next_to), F.slice("words", F.lit(2), next_to), lambda a, b: F.concat_ws(" ", a, b)))
@@ -104,7 +104,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     count = F.size(F.element_at(grams_of, F.col("t")))
     long = F.size(words).between(count * low, count * high * 4 + 8)  # repeated words make fewer bigrams, never more
     lines = lines.where(long).select("row", "doc_id", "t", words.alias("words")).where(F.size("words") > 1)
-    lines = lines.select("row", "doc_id", "t", grams.alias("grams"), F.element_at(grams_of, F.col("t")).alias("own"))
+    own_grams = F.element_at(grams_of, F.col("t")).alias("own")
+    lines = lines.select("row", "doc_id", "t", F.inline_outer(F.array(F.struct(grams.alias("grams"), own_grams))))
     met = lines.where(n.between(own * low, own * high)).withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "own")) / (n + own)).where(F.col("dice") >= threshold)
     return (
         met.groupBy("row", "doc_id", F.element_at(names, F.col("t")).alias("license"))
