@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import cut
+
 
 def recent(tasks: DataFrame, limit: int = 20, unique: bool = True) -> DataFrame:
     """The newest tasks; ``unique``: the newest of each file among the newest ``5 * limit`` (1 to 100), at most ``limit``."""
@@ -41,10 +43,22 @@ def argmax_first(rows: DataFrame, key: str, score: Column, order: str, value: st
     return rows.groupBy(key).agg(best.alias(value), F.max(F.coalesce(score, F.lit(0.0))).alias("max_score"))
 
 
-def numbered(rows: DataFrame, order: list, within: str | None = None, name: str = "no") -> DataFrame:
-    """Consecutive numbers from 1 within each group; without a group one small result is numbered as a whole."""
-    window = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
-    return rows.withColumn(name, F.row_number().over(window.orderBy(*order)))
+def numbered(rows: DataFrame, order: list, within: str | list[str] | None = None, name: str = "no") -> DataFrame:
+    """Consecutive numbers from 1 by ``order`` within each group (``within``; null is a group of its own), or over all rows.
+
+    Rows are dealt into ranges of the order and numbered inside each. A group that goes over several ranges counts on from its rows in the
+    earlier ones, so neither a large group nor the whole table has to fit one task. The ranges are kept in a checkpoint, as sampled bounds
+    differ from run to run. ``rows`` are computed twice (sample and shuffle): write them first if they are dear. Rows equal by
+    ``order`` share a range and are numbered in any order: give a total order.
+    """
+    groups = [] if within is None else [within] if isinstance(within, str) else list(within)
+    sort = [*(F.asc_nulls_first(g) for g in groups), *order]
+    ranged = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    made = cut(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", F.struct(F.shiftright("_at", 33).alias("_range"), *groups)))  # a struct, so that null groups meet
+    runs = made.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*(F.col("_key")[g] for g in groups)).orderBy("_key._range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and group
+    runs = runs.select("_key", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return made.join(runs, "_key").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_key", "_shift")
 
 
 def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
