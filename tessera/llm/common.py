@@ -3,37 +3,17 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import shared_folder, table
+from tessera.sources.tables import cut, table, written
 
 __all__ = ["ascii_lower", "cut", "fitted", "free_name", "id_bucket", "ordered_sample", "sample_by", "sample_texts", "saved", "table", "written"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
-
-    A checkpoint hands on the size estimated for the plan behind it, a product over joins. Over the rounds of a loop that
-    number's own length multiplies; loops write tables instead (``written``), whose sizes are those of their files.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the cluster's shared folder as Parquet and read again, and its path."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
