@@ -9,7 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, urls
+from tessera.llm import licenses, resampling, urls
+from tessera.llm.alignment import op13_alignment
+from tessera.llm.bpe import op12_bpe
 from tessera.llm.chat import op8_chat
 from tessera.llm.common import table
 from tessera.llm.decontam import op5_decontamination
@@ -32,6 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pii": lambda s, d: op9_pii(table(s, d, "documents")),
     "op10_simhash": lambda s, d: op10_simhash(table(s, d, "documents")),
+    "op11_resampling": resampling.op11_resampling,
+    "op12_bpe": lambda s, d: op12_bpe(table(s, d, "documents")),
+    "op13_alignment": lambda s, d: op13_alignment(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {"op4_urls": urls.ORACLE, "op7_licenses": licenses.ORACLE}
+ORACLE: dict[str, str] = {"op4_urls": urls.ORACLE, "op7_licenses": licenses.ORACLE, "op11_resampling": resampling.ORACLE}
