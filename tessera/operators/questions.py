@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
+from tessera.operators.similarity import similar_classes
+from tessera.sources.tables import written
+
+SIMILAR = 0.8
+
 
 def question_key(question: Column) -> Column:
     """Letters and digits of the lower-cased question: what equal questions share."""
@@ -21,5 +27,33 @@ def merge(rows: DataFrame, area: str, question: str, source: str, order: list[st
     )
 
 
+def question_words(question: Column) -> Column:
+    """The different words (runs of letters and digits) of the lower-cased question, sorted; empty for null."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(question, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def similar_questions(rows: DataFrame, area: str, question: str, order: list[str], at_least: float = SIMILAR) -> DataFrame:
+    """Specified only: ``rows`` with what they were merged into: ``no`` (the number of the kept question in its area), ``kept`` (whether this row is
+    the one that stays) and ``n_merged`` (rows merged into it). Where the rows have such columns already, these are replaced.
+
+    Questions of an area are near-equal if their words, as sets, have a Jaccard coefficient of ``at_least`` or more, or are joined by
+    others that are. Of each class the most complete (longest) question stays, then the first by ``order`` (give a total order: rows
+    equal by it all stay). Kept questions are numbered by their place in ``order``. Null questions have no words, and those are one class;
+    a null area is an area. Every row comes back, so what was merged is rows and not an array.
+    """
+    rows = rows.drop("no", "kept", "n_merged").withColumn("_area", F.coalesce(F.concat(F.lit("="), F.col(area)), F.lit(""))).withColumn("_words", question_words(F.col(question)))
+    best = F.min(F.struct((-F.length(F.coalesce(question, F.lit("")))).alias("l"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order))))
+    kinds = rows.groupBy("_area", "_words").agg(best.alias("_best"), F.count("*").alias("_n"))
+    kinds, _ = written(kinds.withColumn("id", F.monotonically_increasing_id()), "questions")
+    classes = similar_classes(kinds.select("id", F.col("_area").alias("area"), F.col("_words").alias("items")), at_least)
+    classed, _ = written(kinds.join(classes, "id"), "questions")
+    kept = classed.groupBy("_area", "class").agg(F.min("_best").alias("_best"), F.sum("_n").alias("n_merged"))
+    kept = numbered(kept, [F.asc_nulls_first(f"_best.o{k}") for k in range(len(order))], "_area")
+    found = classed.select("_area", "_words", "class").join(kept.select("class", F.col("_best").alias("_kept"), "no", "n_merged"), "class").drop("class")
+    mine = F.struct((-F.length(F.coalesce(question, F.lit("")))).alias("l"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
+    return rows.join(found, ["_area", "_words"]).withColumn("kept", mine == F.col("_kept")).drop("_area", "_words", "_kept")
+
+
 def renumber(rows: DataFrame, order: list, within: str = "area") -> DataFrame:
-    return rows.withColumn("no", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
+    """Numbers from 1 within each area, dealt by ranges: an area of any size is spread over tasks."""
+    return numbered(rows, order, within)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import projects, requests, retrieval, workspace
+from tessera.plans import matching, projects, requests, retrieval, workspace
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | requests.QUERIES | projects.QUERIES | workspace.QUERIES
-ORACLE: dict[str, str] = retrieval.ORACLE | requests.ORACLE | projects.ORACLE | workspace.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | requests.QUERIES | projects.QUERIES | workspace.QUERIES | matching.QUERIES
+ORACLE: dict[str, str] = retrieval.ORACLE | requests.ORACLE | projects.ORACLE | workspace.ORACLE | matching.ORACLE

@@ -148,6 +148,11 @@ def qa_merged(spark: SparkSession, d: str) -> DataFrame:
     return got.select("area", "no", "question", F.array_join("merged_from", ",").alias("merged_from"), "n_merged")
 
 
+def qa_similar(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("area"), "text")
+    return questions.similar_questions(rows, "area", "text", ["conv_id", "turn"]).select("conv_id", "turn", "area", "no", "kept", "n_merged")
+
+
 KEYWORDS = (("contact", "@"), ("licence", "MIT License"), ("licence", "apache"), ("number", "1"), ("code", "="))
 
 
@@ -250,6 +255,7 @@ QUERIES = {
     "project_end_date": end_dates,
     "qa_normalize_renumber": qa_normalised,
     "qa_merge_dedupe": qa_merged,
+    "qa_similar_merge": qa_similar,
     "keyword_dimension_match": keyword_match,
     "module_summary": module_summary,
     "scope_jaccard_best_match": best_scope,
@@ -289,6 +295,15 @@ ORACLE = {
         SELECT o_orderkey, CAST(make_date(year(t) + i // 12, i % 12 + 1, least(day(t), 28)) AS VARCHAR) AS end_date FROM x""",
     "qa_normalize_renumber": """SELECT coalesce(CASE WHEN turn % 2 = 0 THEN turn END, turn + 1) AS no, role AS function, CASE WHEN role = 'assistant' THEN '高' ELSE '' END AS impact, '' AS history_reference,
         count(*) AS n, max(coalesce(text, '')) AS last_question FROM conversations GROUP BY 1, 2, 3""",
+    "qa_similar_merge": r"""WITH RECURSIVE w AS (SELECT conv_id, turn, role AS area, length(text) AS n,
+    list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS words FROM conversations),
+  k AS MATERIALIZED (SELECT area, words, row_number() OVER (ORDER BY area, words) AS id FROM (SELECT DISTINCT area, words FROM w)),
+  p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.area = b.area AND a.id <> b.id WHERE len(list_intersect(a.words, b.words)) * 9 >= (len(a.words) + len(b.words)) * 4),
+  reach(a, b) AS (SELECT id, id FROM k UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+  c AS (SELECT a AS id, min(b) AS class FROM reach GROUP BY a),
+  r AS (SELECT w.*, class, rank() OVER (PARTITION BY class ORDER BY n DESC, conv_id, turn) = 1 AS kept, count(*) OVER (PARTITION BY class) AS n_merged FROM w JOIN k USING (area, words) JOIN c USING (id)),
+  f AS (SELECT class, row_number() OVER (PARTITION BY area ORDER BY conv_id, turn) AS no FROM r WHERE kept)
+  SELECT conv_id, turn, area, no, kept, n_merged FROM r JOIN f USING (class)""",
     "qa_merge_dedupe": r"""WITH k AS (SELECT role AS area, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS key, text, conv_id, turn FROM conversations),
         b AS (SELECT area, key, arg_min(text, ROW(-length(text), conv_id, turn)) AS question, array_to_string(list_sort(list_distinct(list(CAST(conv_id AS VARCHAR)))), ',') AS merged_from, count(*) AS n_merged FROM k GROUP BY area, key)
         SELECT area, CAST(row_number() OVER (PARTITION BY area ORDER BY key) AS INTEGER) AS no, question, merged_from, n_merged FROM b""",
