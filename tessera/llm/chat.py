@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-BUDGET, HISTORY = 512, 96
+BUDGET, HISTORY = 1024, 384
 BLOCK = 256
 #: What counts as a token where the caller gives no count: two letters, three digits, any other mark, a line end. Byte-pair
 #: encoders take fewer on nearly all texts, so a budget kept in these is kept in theirs.
@@ -93,7 +93,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """
     system = F.col("role") == "system"
     room = F.greatest(F.lit(budget) - F.col("head"), F.lit(0))
-    back = F.least(F.lit(history), F.floor(room / 4)).cast("long")
+    back = F.least(F.lit(history), F.floor(room / 2)).cast("long")
     rows = placed(conversations, tokens).withColumn("back", back).withColumn("span", F.greatest(room - F.col("back"), F.lit(1)))
     cell_of = lambda at: F.floor((at - 1) / F.col("span")).cast("long")
     rows = rows.withColumn("begin", F.col("upto") - F.col("tokens"))
