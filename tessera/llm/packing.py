@@ -36,6 +36,7 @@ BLOCK_TOKENS = 1 << 18
 LEAST_POWER = 64  # shorter windows are made at the end of a partition only
 CACHE_BYTES = 32 << 20  # of remembered words and their ids
 TOKENIZER = "byte_bpe_50k"
+SPECIAL = "<|endoftext|>"  # the tokenizer file's one special token; inside a text it stands for its id, as that file has it
 
 
 class Tokens:
@@ -44,7 +45,7 @@ class Tokens:
     Its pre-tokeniser never joins a blank that follows a non-blank to what stands before. So the text from one
     single space or line end to the next is encoded on its own and remembered (up to ``CACHE_BYTES``, then anew).
     Words not yet known are encoded together; the lengths of the tokens tell where each word ends. Texts with longer
-    white space go through the encoder whole.
+    white space go through the encoder whole. A text is cut at the special token, whose id follows those of the ranks.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -54,7 +55,8 @@ class Tokens:
         path = vocabulary or public_tokenizers.path(f"{TOKENIZER}.tiktoken")
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
         self.encoding = tiktoken.Encoding(TOKENIZER, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(ranks.values()) + 1, bool)  # tokens behind which a sentence may end
+        self.special = np.array([max(ranks.values()) + 1], "<u4")
+        self.ends = np.zeros(max(ranks.values()) + 2, bool)  # tokens behind which a sentence may end
         self.sizes = np.zeros(len(self.ends), np.int64)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")
@@ -73,6 +75,17 @@ class Tokens:
             start = stop
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [text.split(SPECIAL) for text in texts]
+        plain = iter(self._plain([x for part in parts for x in part]))
+        out = []
+        for part in parts:
+            found = [next(plain)]
+            for _ in part[1:]:
+                found += [self.special, next(plain)]
+            out.append(np.concatenate(found) if len(found) > 1 else found[0])
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         known = self.words
         if self.held > CACHE_BYTES:
             known.clear()
