@@ -59,13 +59,15 @@ def sample_by(rows: DataFrame, group: str, each: int, chars: int, groups: int) -
     """``text, <group>``: about ``each`` different texts (their first ``chars`` characters) of each of the ``groups`` most
     frequent values of ``group``, those with the smallest hashes; never more than ``each``.
 
-    One pass counts the rows of the groups; the next takes hashes below four times the share wanted, so what is ranked is
-    bounded whatever the input, and repeated texts fall together before they are.
+    One pass counts the different texts of each group (a sketch, off by some hundredths); the next takes hashes below four times the
+    share wanted, so what is ranked is bounded whatever the input, and repeated texts fall together before they are. A group of
+    few texts in many rows keeps them all.
     """
-    top = rows.groupBy(group).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), group).limit(groups)
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * F.col("_n") < 4.0 * each * (1 << 30)
-    near = rows.where(F.length("text") > 0).select(group, "text").join(F.broadcast(top), group).where(part)
-    near = near.groupBy(group, F.xxhash64("text").alias("_hash")).agg(F.min(F.left("text", F.lit(chars))).alias("text"))
+    known = rows.where(F.length("text") > 0).select(group, "text", F.xxhash64("text").alias("_hash"))
+    top = known.groupBy(group).agg(F.count("*").alias("_rows"), F.approx_count_distinct("_hash").alias("_n")).orderBy(F.desc("_rows"), group).limit(groups)
+    part = F.pmod("_hash", F.lit(1 << 30)) * F.col("_n") < 4.0 * each * (1 << 30)
+    near = known.join(F.broadcast(top.select(group, "_n")), group).where(part)
+    near = near.groupBy(group, "_hash").agg(F.min(F.left("text", F.lit(chars))).alias("text"))
     order = Window.partitionBy(group).orderBy("_hash")
     return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("text", group)
 
