@@ -16,6 +16,7 @@ ODD = [
     (6, "der Hund und die Katze im Haus " * 3, "de"), (None, "no id here", "en"), (7, "x" * 50_000, None), (8, "\U0001f600 é ß İ " * 40, "fr"),
     (9, "mail a@b.co b@c.d.e, ip 1.2.3.4 and 999.1.1.1 1.2.3.4.5, card 4111 1111 1111 1111 and 4111-1111-1111-1112, phone +49 (30) 123-4567 +1", "en"),
     (10, "ring +49 170 1234567, later 170 1234567 or 1701234567", "en"), (11, "word " * 30_000, "en"),
+    (12, "end<|endoftext|> of <|endoftext|>", "en"), (13, "▁ odd ▁blank", None), (14, " two  blanks\n\n and\n line\r\nends", None), (15, "中文没有空格" * 20 + "<s> <0x41>\x00", None), (16, "Word word 12 É " * 10, None),
 ]
 
 
@@ -203,6 +204,110 @@ def test_simhash(spark, base):
     assert all(r.component_id == least.get(find(want[r.doc_id])) for r in got.itertuples())
 
 
+def rows_by_id(got, source):
+    """Each source row with one result row of its id; repeated rows have equal results."""
+    left = {}
+    for r in got.itertuples():
+        left.setdefault(r.doc_id, []).append(r)
+    pairs = [(left[row.doc_id].pop(), row.text or "") for row in source.itertuples()]
+    assert not any(left.values())
+    return pairs
+
+
+def test_bpe(spark, base):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r, text in rows_by_id(*rows_of(spark, base, "op12_bpe", "documents")):
+        ids = np.array(coder.encode_ordinary(text), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def plain_groups(a, b):
+    """Groups of ``(id, bytes)`` lists by walking both byte strings."""
+    out, i, j = [], 0, 0
+    while i < len(a):
+        ga, gb, end_a, end_b = [], [], 0, 0
+        while not ga or end_a != end_b:
+            if end_a <= end_b:
+                ga.append(a[i][0])
+                end_a += len(a[i][1])
+                i += 1
+            else:
+                gb.append(b[j][0])
+                end_b += len(b[j][1])
+                j += 1
+        out.append((ga, gb))
+    return out
+
+
+def test_alignment(spark, base):
+    import base64
+    from collections import Counter
+
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    raw = {int(b): base64.b64decode(a) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+
+    def piece(i):
+        return bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode()
+
+    pairs = rows_by_id(*rows_of(spark, base, "op13_alignment", "documents"))
+    held, groups = Counter(), []
+    for _, text in pairs:
+        a = [(i, raw[i]) for i in first.encode(f" {text}", add_special_tokens=False).ids] if text else []
+        b = [(i, piece(i)) for i in second.encode(text)]
+        whole = b"".join(x for _, x in a)
+        if whole != b"".join(x for _, x in b) or text and whole != f" {text}".encode():
+            a = b = []
+        groups.append(plain_groups(a, b))
+        held.update({(x, y) for ga, gb in groups[-1] for x in ga for y in gb})
+    top = {}
+    for (x, _), n in held.items():
+        top[x] = max(n, top.get(x, 0))
+    for (r, _), own in zip(pairs, groups):
+        links = [(x, y) for ga, gb in own for x in ga for y in gb]
+        listed = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in own)
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links) == (sum(len(x) for x, _ in own), sum(len(x) for _, x in own), len(own), len(links))
+        assert (r.n_best, r.count_sum) == (sum(held[x] == top[x[0]] for x in links), sum(held[x] for x in links))
+        assert r.groups_sha256 == (hashlib.sha256(listed.encode()).hexdigest() if own else "")
+
+
+def test_resampling(spark, base):
+    import math
+    from collections import Counter
+
+    got, source = rows_of(spark, base, "op11_resampling", "documents")
+    target = spark.read.parquet(f"{base}/benchmark.parquet").toPandas()
+    words = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    bucket = lambda w: zlib.crc32(w.encode()) % 10_000
+    s, t = (Counter(bucket(w) for text in texts for w in words(text)) for texts in (source.text, target.text))
+    all_s, all_t = sum(s.values()) + 10_000, sum(t.values()) + 10_000
+    want = []
+    for i, text in zip(source.doc_id, source.text):
+        found = words(text)
+        weight = sum(math.floor(1000 * math.log((t[b] + 1) * all_s / ((s[b] + 1) * all_t))) for b in map(bucket, found))
+        h = int(hashlib.sha256(f"2024:{'' if i is None else int(i)}".encode()).hexdigest()[:8], 16)
+        want.append((i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    order = sorted((x for x in want if x[1] >= 20), key=lambda x: (-x[3], x[0] is not None, x[0] or 0))
+    rank = [(*x, k + 1) for k, x in enumerate(order[: len(order) * 10 // 100])]
+    left = list(want)
+    for x in rank:
+        left.remove(x[:4])
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    rows = [(r.doc_id, r.n_features, r.weight, r.score, r.rank) for r in got.itertuples()]
+    assert sorted(rows, key=key) == sorted([*rank, *((*x, None) for x in left)], key=key)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(name, spark, sf_dir, duck, same):
     same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(queries.ORACLE[name]).df())
