@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 CACHE_BYTES = 64 << 20
-ENTRY_BYTES = 200  # what a unit takes beside its text and its ids
+ENTRY_BYTES = 350  # what a unit takes beside its text and its ids
 
 
 def odd(unit: str) -> bool:
