@@ -28,7 +28,7 @@ from tessera.llm.common import written
 from tessera.llm.units import Units
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20  # of the texts of a block; one longer text is a block of its own
+BLOCK_BYTES = 2 << 20  # of the texts of a block; one longer text is a block of its own
 LINKS = 1 << 22  # laid out at once
 SALTS = 64
 BLANK = "▁"
@@ -107,16 +107,17 @@ def _written_groups(first: np.ndarray, second: np.ndarray, label_a: np.ndarray,
     start = stop - n_a - n_b
     at_a = np.arange(len(first)) + (np.cumsum(n_b) - n_b)[label_a]  # a group's A tokens come before its B tokens
     at_b = np.arange(len(second)) + np.cumsum(n_a)[label_b]
-    ids, mark = np.empty(len(first) + len(second), np.int64), np.full(len(first) + len(second), ord(","), np.uint8)
+    ids, mark = np.empty(len(first) + len(second), np.int32), np.full(len(first) + len(second), ord(","), np.uint8)
     ids[at_a], ids[at_b] = first, second
     mark[start + n_a - 1], mark[stop - 1] = ord("|"), ord(";")
     width = len(str(int(ids.max(initial=0))))
-    tens = 10 ** np.arange(width - 1, -1, -1)
-    cells = np.empty((len(ids), width + 1), np.uint8)
-    cells[:, :width] = ids[:, None] // tens % 10 + ord("0")
+    cells, shown = np.empty((len(ids), width + 1), np.uint8), np.ones((len(ids), width + 1), bool)
+    for k in range(width):
+        ten = 10 ** (width - 1 - k)
+        cells[:, k] = ids // ten % 10 + ord("0")
+        if ten > 1:
+            shown[:, k] = ids >= ten
     cells[:, width] = mark
-    shown = np.ones(cells.shape, bool)
-    shown[:, : width - 1] = ids[:, None] >= tens[:-1]
     ends = np.cumsum(shown.sum(1))
     return cells[shown].tobytes(), ends[stop - 1]
 
