@@ -30,9 +30,17 @@ def by_ratio(rows: DataFrame, ratio: str, name: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(ratio), name)
 
 
+def top_of_each(rows: DataFrame, key: str | list[str], order: list, n: int) -> DataFrame:
+    """The ``n`` first rows of each key by ``order``, with ``rank`` (give a total order, else ties are arbitrary). Every task keeps the ``n`` first of its own
+    rows of a key before the shuffle, so a key with most of the rows brings no more than that from each."""
+    window = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+
+
 def top_with_warning(hits: DataFrame, key: str, order: list, n: int = 3) -> DataFrame:
-    """Specified only: the ``n`` first hits of each key, with ``rank`` and ``warning`` where there are fewer than ``n``."""
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+    """Specified only: the ``n`` first hits of each key, with ``rank`` and ``warning`` where there are fewer than ``n``: a key has fewer if
+    its last rank is lower, so nothing but the few ranked rows is counted."""
+    ranked = top_of_each(hits, key, order, n)
     few = F.count("*").over(Window.partitionBy(key)) < n
     return ranked.withColumn("warning", F.when(few, F.concat(F.lit("fewer than "), F.lit(str(n)), F.lit(" similar projects"))))
 

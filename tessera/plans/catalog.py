@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import matching, projects, requests, retrieval, tracking, workspace
+from tessera.plans import matching, projects, requests, retrieval, searching, tracking, workspace
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | requests.QUERIES | projects.QUERIES | workspace.QUERIES | matching.QUERIES | tracking.QUERIES
-ORACLE: dict[str, str] = retrieval.ORACLE | requests.ORACLE | projects.ORACLE | workspace.ORACLE | matching.ORACLE | tracking.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | requests.QUERIES | projects.QUERIES | workspace.QUERIES | matching.QUERIES | tracking.QUERIES | searching.QUERIES
+ORACLE: dict[str, str] = retrieval.ORACLE | requests.ORACLE | projects.ORACLE | workspace.ORACLE | matching.ORACLE | tracking.ORACLE | searching.ORACLE
