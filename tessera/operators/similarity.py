@@ -2,12 +2,13 @@
 
 All items have one order, rare ones first. Two sets whose Jaccard coefficient is ``t`` or more share an item among the first
 ``size - ceil(t * size) + 1`` of each (else too few are left to share), and the smaller has at least ``t`` times as many
-items as the larger. So sets meet on such an item and a size, never on their common items; where an item stands in both
+items as the larger. So sets meet on such an item and a band of sizes, never on their common items; where an item stands in both
 bounds how many more can be shared, and what is left is compared as a whole. Thresholds are fractions, compared in integers.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from tessera.sources.tables import written
 
 FREQUENT = 1000  # an item in more than one of so many sets is ordered by its count; there are at most this many times the mean size of a set
 
+BAND = 1.05
+
 
 def fraction(at_least: float | str | Fraction) -> Fraction:
     """The threshold as the fraction that its decimal form says: 0.8 is 4/5."""
@@ -53,17 +56,33 @@ def prefixes(sets: DataFrame, frequent: DataFrame, t: Fraction) -> DataFrame:
     return lists.select("id", "area", "size", F.posexplode(F.slice("x", F.lit(1), first.cast("int"))).alias("place", "x")).select("id", "area", F.col("x.item").alias("item"), "place", "size")
 
 
-def _meeting(left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
-    """Rows of two tables of prefixes that share an item and can still reach ``t``, by item and size: columns ``a, b`` (ids) and what comes with ``_``.
+def _needed(a: Column, b: Column, t: Fraction) -> Column:
+    """How many items two sets of these sizes share at least if they reach ``t``."""
+    return F.floor(((a + b) * t.numerator + (t.numerator + t.denominator - 1)) / (t.numerator + t.denominator)).cast("long")
+
+
+def _band(size: Column) -> Column:
+    """Sizes in bands, each about ``BAND`` times as large as the one before."""
+    return F.floor(F.log(size.cast("double")) / math.log(BAND)).cast("long")
+
 
-    The left side is repeated for each size that a partner may have.
+def meeting(left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
+    """Rows of two tables of ``prefixes`` that share an item and can still reach ``t``: columns ``a, b`` (ids), sizes, and of each side
+    what begins with ``_``.
+
+    The first item that two sets share has all the others behind it in both, so it must stand early enough for as many as they need.
+    How many follows from both sizes: the left side is repeated for each band of sizes that a partner may have, and only its items early enough for that band
+    are. Sets whose first items are their own, such as copies with many small changes, so meet nobody that is too far from them.
     """
-    low, high = _ceil(F.col("a_size"), t), F.floor(F.col("a_size") * t.denominator / t.numerator).cast("long")
     renamed = left.select(F.col("id").alias("a"), "area", "item", F.col("place").alias("a_place"), F.col("size").alias("a_size"), *(F.col(c).alias(f"a{c}") for c in left.columns if c[0] == "_"))
-    wide = renamed.withColumn("size", F.explode(F.sequence(low, high)))
-    both = wide.join(right.select(F.col("id").alias("b"), "area", "item", F.col("place").alias("b_place"), "size", *(F.col(c).alias(f"b{c}") for c in right.columns if c[0] == "_")), ["area", "item", "size"])
-    most = F.least("a_place", "b_place") + 1 + F.least(F.col("a_size") - F.col("a_place"), F.col("size") - F.col("b_place")) - 1
-    return both.where(most * (t.numerator + t.denominator) >= (F.col("a_size") + F.col("size")) * t.numerator)
+    low, high = _ceil(F.col("a_size"), t), F.floor(F.col("a_size") * t.denominator / t.numerator).cast("long")
+    wide = renamed.withColumn("band", F.explode(F.sequence(_band(low) - 1, _band(high) + 1)))  # one band more on each side, whatever the rounding of logarithms
+    least = F.greatest(low, F.floor(F.pow(F.lit(BAND), F.col("band"))).cast("long") - 1)
+    wide = wide.where(F.col("a_size") - F.col("a_place") >= _needed(F.col("a_size"), least, t))
+    other = right.select(F.col("id").alias("b"), "area", "item", F.col("place").alias("b_place"), F.col("size").alias("b_size"), _band(F.col("size")).alias("band"), *(F.col(c).alias(f"b{c}") for c in right.columns if c[0] == "_"))
+    both = wide.join(other, ["area", "item", "band"])
+    needed = _needed(F.col("a_size"), F.col("b_size"), t)
+    return both.where((F.least("a_size", "b_size") >= _ceil(F.greatest("a_size", "b_size"), t)) & (F.col("a_size") - F.col("a_place") >= needed) & (F.col("b_size") - F.col("b_place") >= needed))
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
@@ -79,7 +98,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, at_least: float | str | Fra
     once each: copies are a matter of the caller's membership table."""
     t = fraction(at_least)
     frequent, _ = written(frequent_items(left.select("items").unionAll(right.select("items"))), "frequent")
-    met = _meeting(prefixes(left, frequent, t), prefixes(right, frequent, t), t)
+    met = meeting(prefixes(left, frequent, t), prefixes(right, frequent, t), t)
     return _verified(met, left, right, t)
 
 
@@ -101,7 +120,7 @@ def similar_classes(sets: DataFrame, at_least: float | str | Fraction) -> DataFr
     marked, _ = written(index.join(tops, "id", "left").withColumn("_top", F.coalesce("_top", "id")), "prefixes")
     apart = marked.groupBy("area", "item").agg(F.min("_top").alias("lo"), F.max("_top").alias("hi")).where("lo < hi").select("area", "item")
     left = marked.join(apart, ["area", "item"])
-    rest = _meeting(left, left, t).where("a_top <> b_top and (a_size < size or a_size = size and a < b)")
+    rest = meeting(left, left, t).where("a_top <> b_top and a < b")
     second, _ = written(_verified(rest, sets, sets, t).select("a", "b"), "links")
     roots = components(first.unionAll(second)).select(F.col("node").alias("id"), "root")
     joined = sets.select("id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
