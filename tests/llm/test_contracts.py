@@ -16,6 +16,10 @@ ODD = [
     (6, "der Hund und die Katze im Haus " * 3, "de"), (None, "no id here", "en"), (7, "x" * 50_000, None), (8, "\U0001f600 é ß İ " * 40, "fr"),
     (9, "mail a@b.co b@c.d.e, ip 1.2.3.4 and 999.1.1.1 1.2.3.4.5, card 4111 1111 1111 1111 and 4111-1111-1111-1112, phone +49 (30) 123-4567 +1", "en"),
     (10, "ring +49 170 1234567, later 170 1234567 or 1701234567", "en"), (11, "word " * 30_000, "en"),
+]
+
+
+MORE = [
     (12, "end<|endoftext|> of <|endoftext|>", "en"), (13, "▁ odd ▁blank", None), (14, " two  blanks\n\n and\n line\r\nends", None), (15, "中文没有空格" * 20 + "<s> <0x41>\x00", None), (16, "Word word 12 É " * 10, None),
 ]
 
@@ -25,7 +29,7 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     """Tables with odd rows and columns that operators might use as names of their own."""
     base = str(tmp_path_factory.mktemp("odd"))
     clash = ", ".join(f"'x' AS {c}" for c in ("fp", "key", "score", "spans", "_hash", "_key", "_label", "component_id", "row", "host", "window", "digest", "start", "listed"))
-    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "length(text) AS n_chars", *clash.split(", "))
+    docs = spark.createDataFrame(ODD + MORE, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "length(text) AS n_chars", *clash.split(", "))
     docs.write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(5, 1, 0), (6, 0, 1), (6, 0, 1), (9, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
     spark.createDataFrame([(1, "the cat and the dog of the house the cat and"), (2, None), (3, ""), (4, "short"), (5, "the cat and the dog of the house the cat and")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
