@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as K
 from tessera.functions.text import or_else
 from tessera.functions.values import jaccard
+from tessera.operators.keywords import contained
 
 
 def first_per(rows: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
@@ -40,25 +41,30 @@ def projects_of_hits(hits: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-LIST_ROWS = 10_000  # bound of lists set by hand, which become one expression
+LIST_ROWS = 10_000  # longest list that becomes one expression; a longer one is joined through an index of its parts
 
 
-def _listed(rows: DataFrame) -> list:
-    """The rows of a list set by hand. A longer one is refused rather than cut."""
+def _listed(rows: DataFrame) -> list | None:
+    """The rows of a list set by hand, or None where it is longer than one expression should be."""
     got = rows.limit(LIST_ROWS + 1).collect()
-    if len(got) > LIST_ROWS:
-        raise ValueError(f"a list of more than {LIST_ROWS} names belongs in a join")
-    return got
+    return got if len(got) <= LIST_ROWS else None
 
 
 def baseline_of(projects: DataFrame, baselines: DataFrame, name: str = "project_name") -> DataFrame:
     """``projects`` and ``baseline_key``: the first key (by ``key_ord``) inside the name, case aside; else ``default``.
 
-    ``baselines(key_ord, key)`` is a list of names set by hand; the match is per row, so nothing is multiplied.
+    ``baselines(key_ord, key)``: a list set by hand becomes one expression a row; a longer one meets the different names through an index.
     """
-    keys = [r["key"] for r in _listed(baselines.where("key <> 'default'").orderBy("key_ord"))]
+    keys = baselines.where("key <> 'default'")
+    listed = _listed(keys.orderBy("key_ord"))
+    if listed is None:
+        names = projects.select(F.col(name).alias("_name")).distinct()
+        hits = contained(names, keys.select(F.col("key").alias("keyword")), "_name", "_name").join(keys.select(F.col("key").alias("keyword"), "key_ord"), "keyword")
+        first = hits.groupBy("_name").agg(F.min_by("keyword", F.struct("key_ord", "keyword")).alias("baseline_key"))
+        joined = projects.drop("baseline_key").join(first, F.col(name) == F.col("_name"), "left").drop("_name")
+        return joined.withColumn("baseline_key", F.coalesce("baseline_key", F.lit("default")))
     low = F.lower(F.coalesce(F.col(name), F.lit("")))
-    hit = F.coalesce(*(F.when(low.contains(k.lower()), k) for k in keys), F.lit("default")) if keys else F.lit("default")
+    hit = F.coalesce(*(F.when(low.contains(r["key"].lower()), r["key"]) for r in listed), F.lit("default")) if listed else F.lit("default")
     return projects.withColumn("baseline_key", hit)
 
 
@@ -70,10 +76,18 @@ def labelled(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, text: Column, keywords: DataFrame) -> DataFrame:
     """Specified only: ``texts`` and ``dimensions``, the dimensions with a keyword (``dimension, keyword``) in the text, sorted.
 
-    The keyword list is set by hand (some hundreds); it becomes one expression, so the texts are read once and not joined.
+    A keyword list set by hand (some hundreds) becomes one expression, so the texts are read once and not joined. A longer list meets the different texts
+    through an index.
     """
+    listed = _listed(keywords.orderBy("dimension", "keyword"))
+    if listed is None:
+        rows = texts.withColumn("_text", F.coalesce(text, F.lit("")))
+        kinds = rows.select("_text").distinct()
+        hits = contained(kinds, keywords, "_text", "_text").join(keywords, "keyword")
+        found = hits.groupBy("_text").agg(F.array_sort(F.collect_set("dimension")).alias("dimensions"))
+        return rows.drop("dimensions").join(found, "_text", "left").drop("_text").withColumn("dimensions", F.coalesce("dimensions", F.array().cast("array<string>")))
     by: dict[str, list[str]] = {}
-    for r in _listed(keywords.orderBy("dimension", "keyword")):
+    for r in listed:
         by.setdefault(r["dimension"], []).append(r["keyword"].lower())
     low = F.lower(text)
     found = []
