@@ -7,7 +7,9 @@ no key in common with probability ``(1 - J ** ROWS) ** BANDS``, 3.2e-6 at 0.8 an
 A key that many sets share would give a pair for each two. So each set is first compared to one of the smallest sets of its
 keys, the one it shares most keys with (a star, linear in the rows). Then, ``TURNS`` times, keys whose sets are not all connected
 pick another hub, to which those that are not connected with it are compared; in a large group of near copies each of these turns
-connects most of what is left. Only pairs that are still apart after that are compared one by one.
+connects most of what is left. Sets that are still apart after that and have a key in common with another group meet by the engine's
+prefix-filtered join of their shingles: on an early rare shingle and a band of sizes. In a group whose likeness is mostly near 0.7 the
+first shingles of each text are its own, so hardly any pair meets, however large the group; and no pair of 0.8 is left out.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, free_name, saved
-from tessera.operators.graph import components
+from tessera.llm.common import cut, free_name, saved, written
 from tessera.llm.simhash import gram_hashes, links, vote
+from tessera.operators.graph import components
+from tessera.operators.similarity import fraction, frequent_items, meeting, prefixes
+from tessera.sources.tables import remove
 
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
@@ -81,6 +85,13 @@ def sketch_udf(raw: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(low, pa.binary())], ["fp", "s", "minima"])
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingles_udf(raw: pa.Array) -> pa.Array:
+    found = [shingles(gram_hashes(t)).view(np.int64) for t in raw.to_pylist()]
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+
 @F.arrow_udf(T.IntegerType())
 def agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
@@ -107,6 +118,19 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct ``sets(s, minima, _row)`` and their ``texts(_row, text)`` -> links ``(a, b)`` that connect what similarity connects."""
     low = sets.select("s", "minima")
+    paths: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        paths.append(path)
+        return df
+
+    def final(links: DataFrame) -> DataFrame:
+        """Links as a table of their own; all other tables go."""
+        links = saved(links, "similar-links")
+        for path in paths:
+            remove(sets.sparkSession, path)
+        return links
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(low.toDF("a", "ma").hint("merge"), "a").join(low.toDF("b", "mb").hint("merge"), "b")  # too wide to pass the driver
@@ -115,24 +139,24 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(sets.select("s", "_row"), "s")
         # a written table: if it is small, Spark sends it to the texts rather than moving these
-        held = cut(texts.select("_row", F.col("text").cast("binary").alias("text")).join(saved(nodes, "nodes"), "_row").select("s", "text"))
+        held = cut(texts.select("_row", F.col("text").cast("binary").alias("text")).join(kept(nodes, "nodes"), "_row").select("s", "text"))
         both = pairs.join(held.toDF("a", "ta").hint("merge"), "a").join(held.toDF("b", "tb").hint("merge"), "b")
-        return saved(both.where(similar_udf("ta", "tb")).select("a", "b"), "similar-links")
+        return kept(both.where(similar_udf("ta", "tb")).select("a", "b"), "similar-links")
 
     index = low.mapInArrow(_band_keys, "key long, s long")
     heads = cut(index.groupBy("key").agg(F.min("s").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"))
-    shared = saved(index.join(heads, "key"), "shared")
+    shared = kept(index.join(heads, "key"), "shared")
     first = shared.where("s <> b").groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("n"))
     first = cut(first.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b"))
     links = verified(cut(close(first)))
     tops = components(links).toDF("s", "top")
     marked = shared.select("key", "s").join(tops, "s", "left").select("key", "s", F.coalesce("top", "s").alias("top"))
     for turn in range(TURNS):
-        open_ = saved(_open(marked), "open")
+        open_ = kept(_open(marked), "open")
         if open_.isEmpty():
-            return links
+            return final(links)
         order = F.xxhash64("s", F.lit(turn))
-        hubs = saved(open_.groupBy("key").agg(F.min_by(F.struct(F.col("s").alias("b"), F.col("top").alias("tb")), order).alias("h")).select("key", "h.b", "h.tb"), "hubs")
+        hubs = kept(open_.groupBy("key").agg(F.min_by(F.struct(F.col("s").alias("b"), F.col("top").alias("tb")), order).alias("h")).select("key", "h.b", "h.tb"), "hubs")
         pairs = cut(open_.join(hubs, "key").where("top <> tb").select(F.col("s").alias("a"), "b").distinct())
         new = verified(cut(close(pairs)))
         if not new.isEmpty():
@@ -142,9 +166,15 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
             roots = components(moved).toDF("top", "root")
             open_ = open_.join(roots, "top", "left").select("key", "s", F.coalesce("root", "top").alias("top"))
         marked = open_
-    open_ = saved(_open(marked), "open")
-    pairs = open_.toDF("key", "a", "ta").join(open_.toDF("key", "b", "tb"), "key").where("a < b and ta <> tb").select("a", "b").distinct()
-    return links.union(verified(cut(close(cut(pairs)))))
+    open_ = kept(_open(marked), "open")
+    t = fraction(SIMILAR)
+    nodes = kept(open_.select("s", "top").distinct().join(sets.select("s", "_row"), "s"), "nodes")
+    found = texts.select("_row", F.col("text").cast("binary").alias("text")).join(nodes, "_row")
+    found = kept(found.select(F.col("s").alias("id"), F.lit("").alias("area"), shingles_udf("text").alias("items"), F.col("top").alias("_top")), "open-sets")
+    index = prefixes(found, kept(frequent_items(found), "frequent"), t).join(found.select("id", "_top"), "id")
+    index = kept(index, "prefixes")
+    pairs = meeting(index, index, t).where("a < b and a_top <> b_top").select("a", "b").distinct()
+    return final(links.union(verified(cut(pairs))))
 
 
 def _open(marked: DataFrame) -> DataFrame:
