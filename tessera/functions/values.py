@@ -34,7 +34,7 @@ def project_end(start: Column, months: Column) -> Column:
 
 def quotation_number(day: Column, name: Column) -> Column:
     """yy + four digits of a stable hash of the project's name + B000."""
-    return F.concat(F.date_format(day, "yy"), F.lpad(F.pmod(F.xxhash64(name), F.lit(10000)).cast("string"), 4, "0"), F.lit("B000"))
+    return F.concat(F.date_format(day, "yy"), F.lpad((F.conv(F.left(F.md5(name.cast("binary")), F.lit(8)), 16, 10).cast("long") % 10000).cast("string"), 4, "0"), F.lit("B000"))
 
 
 def score(distance: Column) -> Column:

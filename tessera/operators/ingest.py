@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
+from tessera.sources.tables import exists, remove
 
 
 def content_hash(content: Column) -> Column:
@@ -90,3 +91,50 @@ class Versions:
         fs, _ = self._fs()
         for name in self.names()[:-keep]:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
+
+class Buckets:
+    """A table of one row a key in ``n`` hash buckets, of which a batch rewrites only those that its keys fall into.
+
+    The new contents of these buckets are written aside first and then put in place of the old ones. If that is interrupted, the next one to open the table
+    finds what was written aside and puts it in place again, which gives the same; one writer at a time. Readers may see some buckets
+    of a batch before others. ``n`` stays what it was when the table was made. Rows without a key are kept as they come, none replaces another.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, n: int, key: str = "doc_id"):
+        self.spark, self.root, self.n, self.key = spark, root, n, key
+        self.data, self.aside = f"{root}/data", f"{root}/aside"
+        if exists(spark, f"{self.aside}/_SUCCESS"):
+            self._put()
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int")
+
+    def read(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.data).drop("bucket") if exists(self.spark, self.data) else None
+
+    def upsert(self, rows: DataFrame, gone: DataFrame | None = None) -> list[int]:
+        """Rows take the place of those with the same key, keys of ``gone`` leave; columns missing on a side are null. The buckets rewritten."""
+        new = rows.withColumn("bucket", self.bucket())
+        leaving = new.select(self.key, "bucket")
+        if gone is not None:
+            leaving = leaving.unionByName(gone.select(self.key).withColumn("bucket", self.bucket()))
+        touched = sorted(r["bucket"] for r in leaving.select("bucket").distinct().collect())  # n at most
+        if touched:
+            if exists(self.spark, self.data):
+                old = self.spark.read.parquet(self.data).where(F.col("bucket").isin(touched))
+                new = old.join(leaving.select(self.key).distinct(), self.key, "left_anti").unionByName(new, allowMissingColumns=True)
+            new = new.repartition(len(touched), "bucket")
+            new.write.mode("overwrite").parquet(self.aside)
+            self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").json(f"{self.root}/touched")
+            self._put()
+        return touched
+
+    def _put(self) -> None:
+        held = self.spark.read.parquet(self.aside)
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.data)
+        filled = {r["bucket"] for r in held.select("bucket").distinct().collect()}
+        for r in self.spark.read.schema("bucket int").json(f"{self.root}/touched").collect():
+            if r["bucket"] not in filled:  # all its keys have left
+                remove(self.spark, f"{self.data}/bucket={r['bucket']}")
+        remove(self.spark, self.aside)

@@ -129,6 +129,26 @@ def plan_totals(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.function_totals(planning.months_long(_plan(spark, d), ["function"]))
 
 
+def timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Staffing plans on the timeline of another project: what was done up to half time is done in the first quarter."""
+    months = F.greatest(F.lit(1), F.least(F.col("s_nationkey"), F.lit(20))).cast("double")
+    new = (F.col("s_suppkey") % 20 + 1).cast("double")
+    part = lambda a, b, x, y: F.struct(*(v.alias(n) for n, v in zip(("old_from", "old_to", "new_from", "new_to"), (a, b, x, y))))
+    zero = F.lit(0.0)
+    segments = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project_id"), F.inline(F.array(part(zero, months / 2, zero, new / 4), part(months / 2, months, new / 4, new))))
+    keys = ["project_id", "function", "position"]
+    return planning.remapped(planning.months_long(_plan(spark, d), keys), segments, "project_id", keys)
+
+
+def bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks kept in hash buckets: a first import, then a batch of changes and deletions that rewrites the buckets it touches."""
+    docs = table(spark, d, "documents").select(*ingest.chunk_record(F.col("doc_id"), F.col("text"), F.create_map(F.lit("lang"), F.col("lang"))))
+    store = ingest.Buckets(spark, f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}", 16)
+    store.upsert(docs.where("doc_id % 3 <> 0").withColumn("text", F.lit("old")))
+    store.upsert(docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 3 = 1 and doc_id % 5 = 0"))
+    return store.read().select("doc_id", F.length("text").alias("n_stored"), "hash")
+
+
 def end_dates(spark: SparkSession, d: str) -> DataFrame:
     end = V.project_end(F.col("o_orderdate"), (F.col("o_orderkey") % 36 + 1).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", end.cast("string").alias("end_date"))
@@ -253,6 +273,8 @@ QUERIES = {
     "manpower_monthly_plan": monthly_plan,
     "manpower_totals": plan_totals,
     "project_end_date": end_dates,
+    "timeline_remap": timeline,
+    "bucketed_upsert": bucketed,
     "qa_normalize_renumber": qa_normalised,
     "qa_merge_dedupe": qa_merged,
     "qa_similar_merge": qa_similar,
@@ -295,6 +317,16 @@ ORACLE = {
         SELECT o_orderkey, CAST(make_date(year(t) + i // 12, i % 12 + 1, least(day(t), 28)) AS VARCHAR) AS end_date FROM x""",
     "qa_normalize_renumber": """SELECT coalesce(CASE WHEN turn % 2 = 0 THEN turn END, turn + 1) AS no, role AS function, CASE WHEN role = 'assistant' THEN '高' ELSE '' END AS impact, '' AS history_reference,
         count(*) AS n, max(coalesce(text, '')) AS last_question FROM conversations GROUP BY 1, 2, 3""",
+    "timeline_remap": f"""WITH {_PLAN},
+  b AS (SELECT s_suppkey AS project_id, greatest(1, least(s_nationkey, 20))::DOUBLE AS m, (s_suppkey % 20 + 1)::DOUBLE AS n FROM supplier),
+  g AS (SELECT project_id, 0::DOUBLE AS of, m / 2 AS ot, 0::DOUBLE AS nf, n / 4 AS nt FROM b UNION ALL SELECT project_id, m / 2, m, n / 4, n FROM b),
+  c AS (SELECT project_id, function, position, fte * (least(month, ot) - greatest(month - 1, of)) AS work, round(nf + (greatest(month - 1, of) - of) * (nt - nf) / (ot - of), 9) AS lo, round(nf + (least(month, ot) - of) * (nt - nf) / (ot - of), 9) AS hi
+    FROM cells JOIN g USING (project_id) WHERE fte <> 0 AND month - 1 < ot AND month > of),
+  x AS (SELECT *, unnest(range(floor(lo)::BIGINT + 1, ceil(hi)::BIGINT + 1)) AS mm FROM c),
+  y AS (SELECT project_id, function, position, mm AS month, sum(work * (least(mm, hi) - greatest(mm - 1, lo)) / (hi - lo)) AS work FROM x GROUP BY ALL),
+  z AS (SELECT *, round(round(sum(work) OVER (PARTITION BY project_id, function, position ORDER BY month) * 10, 6)) AS t FROM y)
+  SELECT project_id, function, position, month, round((t - coalesce(lag(t) OVER (PARTITION BY project_id, function, position ORDER BY month), 0)) / 10, 1) AS fte FROM z""",
+    "bucketed_upsert": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 3 ELSE least(length(text), 8000) END AS n_stored, sha256(text) AS hash FROM documents WHERE NOT (doc_id % 3 = 1 AND doc_id % 5 = 0)""",
     "qa_similar_merge": r"""WITH RECURSIVE w AS (SELECT conv_id, turn, role AS area, length(text) AS n,
     list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS words FROM conversations),
   k AS MATERIALIZED (SELECT area, words, row_number() OVER (ORDER BY area, words) AS id FROM (SELECT DISTINCT area, words FROM w)),

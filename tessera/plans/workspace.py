@@ -151,6 +151,21 @@ def written_forms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def quotations(spark: SparkSession, d: str) -> DataFrame:
+    """SF-21"""
+    return table(spark, d, "orders").select("o_orderkey", V.quotation_number(F.col("o_orderdate"), F.concat(F.lit("project "), F.col("o_custkey").cast("string"))).alias("quotation"))
+
+
+def word_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02, SRC-18, FIL-04, SF-16: every document as a Word file of its project, read back as an import would."""
+    kind = F.element_at(_names("rfq", "qa", "quote", "notes"), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/kb/"), "source", F.lit("_team/"), F.col("doc_id").cast("string"), F.lit("_"), kind, F.lit(".docx"))
+    docs = table(spark, d, "documents").select(path.alias("path"), documents.word_file("lang", "text").alias("content"))
+    files = docs.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.length("content").cast("long").alias("length"), "content")
+    got = documents.described(files, "/kb").withColumn("x", documents.extract("content"))
+    return got.select("doc_id", "project_name", "doc_type", F.length("x.text").alias("n_chars"), F.sha2("x.text", 256).alias("text_sha256"), "x.error")
+
+
 def chapters(spark: SparkSession, d: str) -> DataFrame:
     """SRC-25, SRC-19: texts cut at numbered headings; what is older than thirty days."""
     text = F.concat(F.lit("intro\n1 First "), F.col("c_name"), F.lit("\nbody 2 x\n2.1 Second\nend\n\n"), F.when(F.col("c_nationkey") > 12, "3. Third").otherwise(""))
@@ -212,6 +227,8 @@ QUERIES = {
     "search_request_checks": search_requests,
     "matrix_edits": matrix_edits,
     "written_forms": written_forms,
+    "quotation_numbers": quotations,
+    "word_files": word_files,
     "chapter_chunks": chapters,
     "project_chunks": hit_chunks,
     "scope_unmapped": scope_unmapped,
@@ -263,6 +280,10 @@ ORACLE = {
         SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, concat('ask ', event_type, ' twice ', event_type) AS prompt, concat_ws(' / ', event_type, CAST(nullif(m, 2) AS VARCHAR), '2024') AS reference,
           CASE WHEN event_id % 2 = 1 THEN '高' WHEN event_id % 3 = 1 THEN '低' ELSE '中' END AS impact,
           array_to_string(list_transform(range(0, m), lambda i: CAST(pow(2, least(3, i * 4 // m)) AS INTEGER)), ',') AS timeline, left(props, 5) AS short, 'prompts/v1/parse.txt' AS path FROM x""",
+    "quotation_numbers": """SELECT o_orderkey, concat(strftime(o_orderdate, '%y'), lpad(CAST(('0x' || left(md5(concat('project ', o_custkey)), 8))::BIGINT % 10000 AS VARCHAR), 4, '0'), 'B000') AS quotation FROM orders""",
+    "word_files": r"""WITH x AS (SELECT doc_id, source, list_aggregate(list_filter(list_transform(list_concat([lang], string_split(text, chr(10))), lambda l: trim(l, chr(32) || chr(9) || chr(13))), lambda l: l <> ''), 'string_agg', chr(10)) AS t FROM documents)
+        SELECT concat(source, '_team/', doc_id, '_', ['rfq', 'qa', 'quote', 'notes'][doc_id % 4 + 1], '.docx') AS doc_id, concat(upper(source[1]), source[2:], ' Team') AS project_name, ['rfq', 'qa', 'quote_manpower', 'summary'][doc_id % 4 + 1] AS doc_type,
+          length(t) AS n_chars, sha256(t) AS text_sha256, NULL::VARCHAR AS error FROM x""",
     "chapter_chunks": """WITH x AS (SELECT c_custkey, c_nationkey, unnest([{'i': 0, 'c': 'intro'}, {'i': 1, 'c': concat('1 First ', c_name, chr(10), 'body 2 x')}, {'i': 2, 'c': concat('2.1 Second', chr(10), 'end')}, {'i': 3, 'c': CASE WHEN c_nationkey > 12 THEN '3. Third' END}]) AS c FROM customer)
         SELECT c_custkey, c.i AS ord, c.c AS chapter, c_nationkey < 10 AS old FROM x WHERE c.c IS NOT NULL""",
     "project_chunks": """WITH p AS (SELECT DISTINCT CASE WHEN doc_id % 5 > 0 THEN source ELSE 'none' END AS project_name FROM documents), f AS (SELECT source, left(arg_min(text, doc_id), 300) AS c FROM documents GROUP BY source)

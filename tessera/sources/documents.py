@@ -6,6 +6,7 @@ Spark reads the bytes (``binaryFile``, any file system it knows); only the zip a
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -21,6 +22,7 @@ from tessera.operators.ingest import content_hash
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_NO_XML = re.compile("[^\t\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 MAX_XML = 200 * 1024 * 1024
 
 
@@ -84,12 +86,27 @@ def chapters(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("*", F.posexplode(F.filter(F.split(text, r"\n(?=\d+(?:\.\d+)*\.?\s+\S)"), lambda c: F.btrim(c) != "")).alias("chapter_ord", "chapter"))
 
 
-def write_docx(path: str, title: str, body: str) -> None:
-    """A minimal Word file, for fixtures."""
+def docx_bytes(title: str | None, body: str | None) -> bytes:
+    """A minimal Word file: a paragraph for the title and for each line. Marks that XML cannot hold become blanks."""
     from xml.sax.saxutils import escape
 
-    rows = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in [title, *body.split("\n")])
+    lines = [_NO_XML.sub(" ", x or "") for x in (title, *(body or "").split("\n"))]
+    rows = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line, {chr(13): "&#13;"})}</w:t></w:r></w:p>' for line in lines)
     xml = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{rows}</w:body></w:document>'
-    with zipfile.ZipFile(path, "w") as z:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>')
         z.writestr("word/document.xml", xml)
+    return out.getvalue()
+
+
+@F.arrow_udf(T.BinaryType())
+def word_file(title: pa.Array, body: pa.Array) -> pa.Array:
+    """The bytes of a Word file for each row of titles and texts."""
+    return pa.array([docx_bytes(t, b) for t, b in zip(title.to_pylist(), body.to_pylist(), strict=True)], pa.binary())
+
+
+def write_docx(path: str, title: str, body: str) -> None:
+    """A minimal Word file, for fixtures."""
+    with open(path, "wb") as f:
+        f.write(docx_bytes(title, body))

@@ -118,15 +118,14 @@ def test_neighbours_of_many_batches(spark):
         assert all(r["vec_id"] not in (q, 9000) for r in own)
 
 
-def test_a_list_too_long_is_refused(spark, monkeypatch):
+def test_a_list_too_long_for_an_expression_is_joined(spark, monkeypatch):
     from tessera.operators import joins
 
     names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "key_ord int, key string")
     projects = spark.createDataFrame([("xBx",), (None,)], "project_name string")
     assert [r["baseline_key"] for r in joins.baseline_of(projects, names).collect()] == ["b", "default"]
     monkeypatch.setattr(joins, "LIST_ROWS", 2)
-    with pytest.raises(ValueError):
-        joins.baseline_of(projects, names)
+    assert sorted(r["baseline_key"] for r in joins.baseline_of(projects, names).collect()) == ["b", "default"]
 
 
 def test_a_failing_model_is_a_value(spark):
@@ -187,3 +186,12 @@ def test_uploads_are_stored_with_their_bytes(spark, tmp_path):
         filters.store_uploads(rows, str(tmp_path / "uploads"))
     got = spark.read.parquet(str(tmp_path / "uploads")).collect()
     assert [bytes(r["content"]) for r in got] == [b"xy"] * 2 and len({r["stored_name"] for r in got}) == 2
+
+
+def test_word_files_of_odd_texts(spark):
+    from tessera.sources import documents
+
+    rows = spark.createDataFrame([(1, "T", "a & <b>\n\n  c\t"), (2, None, None), (3, "x\x00y", "\U0001f600\r\nend"), (4, "", "")], "id int, title string, body string")
+    got = {r["id"]: (r["x"]["text"], r["x"]["error"]) for r in rows.withColumn("x", documents.extract(documents.word_file("title", "body"))).collect()}
+    assert got[1] == ("T\na & <b>\nc", None) and got[3] == ("x y\n\U0001f600\nend", None)
+    assert got[2] == got[4] == (None, "ValueError: document is empty")
