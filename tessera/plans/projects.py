@@ -48,7 +48,7 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, (F.col("n_chars") % 100) / 100).alias("score"), F.col("lang").alias("source_doc"), F.col("n_chars").cast("string").alias("content"),
     )
     good = docs.join(table(spark, d, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    reference = good.where("n_chars % 3 = 0").select(
+    reference = good.select(
         F.col("doc_id").alias("ord"), F.col("source").alias("project_name"), F.lit(0.25).alias("score"), F.col("lang").alias("source_doc"),
         F.col("n_chars").cast("string").alias("actual_man_days"), F.lit("+8%").alias("deviation_rate"), F.concat(F.lit("project "), F.col("doc_id").cast("string")).alias("summary"),
     )
@@ -294,7 +294,7 @@ ORACLE = {
     "doc_type_filter": "SELECT source, lang, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY ALL",
     "index_status": """SELECT CASE WHEN f THEN 'failed' WHEN g THEN 'indexed' ELSE 'pending' END AS status, CASE WHEN f THEN 'rejected' END AS error, count(*) AS n FROM
         (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS f, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS g FROM documents) GROUP BY ALL""",
-    "first_match_left_join": """WITH r AS (SELECT * FROM documents WHERE n_chars % 3 = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1),
+    "first_match_left_join": """WITH r AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1),
         h AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN source ELSE '未知项目' END AS p, CASE WHEN doc_id % 2 = 0 THEN (n_chars % 100) / 100.0::DOUBLE END AS s, lang, n_chars FROM documents)
         SELECT h.doc_id AS hit_id, p AS project_name, coalesce(s, CASE WHEN r.doc_id IS NOT NULL THEN 0.25::DOUBLE END, 0.5::DOUBLE) AS score, coalesce(r.lang, h.lang) AS source_doc,
           CASE WHEN r.doc_id IS NOT NULL THEN CAST(r.n_chars AS VARCHAR) ELSE '—' END AS actual_man_days, CASE WHEN r.doc_id IS NOT NULL THEN '+8%' ELSE '—' END AS deviation_rate,

@@ -75,7 +75,7 @@ def information_sheet(spark: SparkSession, d: str) -> DataFrame:
     """SRC-10, WN-04: the information sheet of each order."""
     start = F.date_format("o_orderdate", "yyyy-MM-dd")
     marks = F.map_filter(F.create_map(F.lit("SOP"), F.lit("2030-01-01"), F.lit("P1"), start, F.lit("P3"), F.when(F.col("o_orderkey") % 2 == 0, start)), lambda _, v: v.isNotNull())
-    rows = table(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("customer"), F.lit("p").alias("project_name"), F.lit("q").alias("quotation_no"), F.lit("e").alias("edit_by"), start.alias("start"), F.lit(3).alias("months"), marks.alias("milestones"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("customer"), F.lit("p").alias("project_name"), F.lit("q").alias("quotation_no"), F.lit("e").alias("edit_by"), start.alias("start"), F.lit(3).alias("months"), marks.alias("milestones"))
     return registry.create("project_information")(rows).groupBy("row", "col").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
@@ -203,7 +203,7 @@ def best_baselines(spark: SparkSession, d: str) -> DataFrame:
         _sets(spark, d, 98.0).select(F.col("user_id").alias("request_id"), F.col("functions").alias("scope")),
         _sets(spark, d, 96.0).select(F.col("user_id").alias("project_id"), F.col("functions").alias("scope"), (F.col("user_id") % 7).cast("double").alias("score")),
     )
-    days = table(spark, d, "events").where("event_type <> 'error'").groupBy(F.col("user_id").alias("project_id"), F.col("event_type").alias("function")).agg(F.count("*").alias("days"))
+    days = table(spark, d, "events").groupBy(F.col("user_id").alias("project_id"), F.col("event_type").alias("function")).agg(F.count("*").alias("days"))
     scope = _sets(spark, d, 98.0).select(F.col("user_id").alias("request_id"), F.explode("functions").alias("function"))
     return joins.baselines_of_best(best, days, scope).select("request_id", "project_id", "function", "days")
 
@@ -252,7 +252,7 @@ ORACLE = {
         s AS (SELECT concat(project_id, '-', function) AS sheet, 5 + o AS "row", position, tariff, month, fte FROM cells JOIN o USING (position))
         SELECT sheet, "row", 3 + month AS col, CAST(fte AS VARCHAR) AS value FROM s UNION ALL SELECT DISTINCT sheet, "row", 1, position FROM s UNION ALL SELECT DISTINCT sheet, "row", 2, tariff FROM s
         UNION ALL SELECT sheet, "row", 3, CAST(round(sum(fte), 1) AS VARCHAR) FROM s GROUP BY sheet, "row" """,
-    "project_information_sheet": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS c, strftime(o_orderdate, '%Y-%m-%d') AS s, month(o_orderdate) + 2 AS i, year(o_orderdate) AS y, day(o_orderdate) AS q, o_orderkey % 2 = 0 AS e FROM orders WHERE o_orderstatus <> 'O'),
+    "project_information_sheet": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS c, strftime(o_orderdate, '%Y-%m-%d') AS s, month(o_orderdate) + 2 AS i, year(o_orderdate) AS y, day(o_orderdate) AS q, o_orderkey % 2 = 0 AS e FROM orders),
         x AS (SELECT unnest([{'r': 6, 'c': 2, 'v': c}, {'r': 7, 'c': 2, 'v': 'p'}, {'r': 8, 'c': 2, 'v': 'q'}, {'r': 10, 'c': 2, 'v': 'e'}, {'r': 12, 'c': 2, 'v': s}, {'r': 13, 'c': 2, 'v': '3'},
           {'r': 14, 'c': 2, 'v': CAST(make_date(y + i // 12, i % 12 + 1, least(q, 28)) AS VARCHAR)}, {'r': 2, 'c': 4, 'v': 'P1'}, {'r': 2, 'c': 5, 'v': CASE WHEN e THEN 'P3' ELSE 'SOP' END}, {'r': 2, 'c': 6, 'v': CASE WHEN e THEN 'SOP' END},
           {'r': 3, 'c': 4, 'v': s}, {'r': 3, 'c': 5, 'v': CASE WHEN e THEN s ELSE '2030-01-01' END}, {'r': 3, 'c': 6, 'v': CASE WHEN e THEN '2030-01-01' END}]) AS x FROM o)
@@ -292,6 +292,6 @@ ORACLE = {
     "questions_of_top_projects": f"WITH {_NEAR} SELECT query_id, rank, concat('qa/', vec_id) AS path, turn, CAST(length(text) AS INTEGER) AS n FROM ranked JOIN conversations ON conv_id = vec_id WHERE rank <= 3 AND role = 'user'",
     "baselines_of_best_match": f"""WITH p AS (SELECT r.user_id AS request_id, r.f AS rf, p.user_id AS project_id, len(list_intersect(r.f, p.f)) / len(list_distinct(list_concat(r.f, p.f)))::DOUBLE AS m, p.user_id % 7 AS score FROM {_sets_sql(98.0)} r JOIN {_sets_sql(96.0)} p ON list_has_any(r.f, p.f)),
         b AS (SELECT request_id, project_id, unnest(rf) AS function FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY m DESC, score DESC, project_id) = 1)),
-        d AS (SELECT user_id, event_type, count(*) AS days FROM events WHERE event_type <> 'error' GROUP BY ALL)
+        d AS (SELECT user_id, event_type, count(*) AS days FROM events GROUP BY ALL)
         SELECT request_id, project_id, function, days FROM b LEFT JOIN d ON user_id = project_id AND event_type = function""",
 }
