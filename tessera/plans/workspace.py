@@ -10,7 +10,7 @@ from tessera.functions import values as V
 from tessera.operators import aggregates, filters, ingest, joins, ranking, registry, workflow
 from tessera.plans.projects import _PLAN, _plan, _sets, _sets_sql
 from tessera.plans.retrieval import _NEAR, _neighbours
-from tessera.sources import documents, models, tables, workbooks
+from tessera.sources import documents, models, tables, templates, workbooks
 from tessera.sources.tables import table
 
 
@@ -166,6 +166,30 @@ def word_files(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "project_name", "doc_type", F.length("x.text").alias("n_chars"), F.sha2("x.text", 256).alias("text_sha256"), "x.error")
 
 
+def quote_books(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-10, SRC-18: each project's plan filled into a copy of the quote template, and what the workbooks then hold, read back."""
+    plans = _plan(spark, d)
+    grid = workbooks.staffing_grid(plans.select(F.concat_ws("-", "project_id", "function").alias("function"), "pos_ord", "position", "tariff", "monthly"))
+    place = F.split(F.col("sheet"), "-")
+    cells = grid.select(place[0].alias("book"), place[1].alias("sheet"), "row", "col", "value")
+    made = templates.fill_template(cells, templates.quote_template())
+    held = workbooks.read_workbooks(made.select(F.col("book").alias("path"), "content"))
+    number = F.when((F.col("row") >= workbooks.FIRST_ROW) & (F.col("col") >= workbooks.FIRST_MONTH_COLUMN), F.col("value").try_cast("double"))
+    return held.groupBy(F.col("path").alias("project"), "sheet").agg(F.count("*").alias("n_cells"), F.round(F.coalesce(F.sum(number), F.lit(0.0)), 1).alias("total"), F.max("error").alias("error"))
+
+
+def question_records(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-22: conversations as question workbooks of eight columns, each of 256 turns, read back one record a row."""
+    book = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 256))
+    rows = table(spark, d, "conversations").select(book.alias("book"), (F.col("turn") % 256 + 2).cast("int").alias("row"), "turn", "role", "text")
+    values = (F.col("turn").cast("string"), F.col("role"), F.lit(None).cast("string"), F.md5(F.col("text").cast("binary")), F.lit("a"), F.when(F.col("turn") % 2 == 0, "yes"), F.lit("高"), F.lit("3 / p"))
+    body = rows.select("book", F.lit("Q&A").alias("sheet"), "row", F.inline(F.array(*(F.struct(F.lit(i).alias("col"), v.alias("value")) for i, v in enumerate(values, 1)))))
+    head = [("Q&A", 1, i, c) for i, c in enumerate(workbooks.QUESTION_RECORD, 1)]
+    made = templates.fill_template(body, workbooks.xlsx_bytes(head))
+    grid = workbooks.read_workbooks(made.select(F.col("book").alias("path"), "content")).where("error is null")
+    return workbooks.question_rows(grid, workbooks.QUESTION_RECORD).select("path", "row", *workbooks.QUESTION_RECORD)
+
+
 def chapters(spark: SparkSession, d: str) -> DataFrame:
     """SRC-25, SRC-19: texts cut at numbered headings; what is older than thirty days."""
     text = F.concat(F.lit("intro\n1 First "), F.col("c_name"), F.lit("\nbody 2 x\n2.1 Second\nend\n\n"), F.when(F.col("c_nationkey") > 12, "3. Third").otherwise(""))
@@ -228,6 +252,8 @@ QUERIES = {
     "matrix_edits": matrix_edits,
     "written_forms": written_forms,
     "quotation_numbers": quotations,
+    "quote_workbooks": quote_books,
+    "question_records": question_records,
     "word_files": word_files,
     "chapter_chunks": chapters,
     "project_chunks": hit_chunks,
@@ -280,6 +306,12 @@ ORACLE = {
         SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, concat('ask ', event_type, ' twice ', event_type) AS prompt, concat_ws(' / ', event_type, CAST(nullif(m, 2) AS VARCHAR), '2024') AS reference,
           CASE WHEN event_id % 2 = 1 THEN '高' WHEN event_id % 3 = 1 THEN '低' ELSE '中' END AS impact,
           array_to_string(list_transform(range(0, m), lambda i: CAST(pow(2, least(3, i * 4 // m)) AS INTEGER)), ',') AS timeline, left(props, 5) AS short, 'prompts/v1/parse.txt' AS path FROM x""",
+    "quote_workbooks": f"""WITH {_PLAN},
+        t(sheet, n) AS (VALUES ('How to Use', 1), ('Project information', 27), ('Manpower', 4), ('PM', 24), ('BIW', 24), ('Interior', 24), ('GI', 24), ('Test validation', 24), ('Chassis', 24), ('CAE', 24), ('EE', 24), ('PS', 24)),
+        f AS (SELECT project_id, function AS sheet, count(DISTINCT position) * 23 AS n, round(sum(fte), 1) AS total FROM cells GROUP BY ALL)
+        SELECT CAST(s_suppkey AS VARCHAR) AS project, t.sheet, t.n + coalesce(f.n, 0) AS n_cells, coalesce(total, 0) AS total, NULL::VARCHAR AS error FROM supplier CROSS JOIN t LEFT JOIN f ON f.project_id = s_suppkey AND f.sheet = t.sheet""",
+    "question_records": """SELECT concat(conv_id, '-', turn // 256) AS path, CAST(turn % 256 + 2 AS INTEGER) AS "row", CAST(turn AS VARCHAR) AS no, role AS area, NULL::VARCHAR AS author, md5(text) AS question, 'a' AS assumption,
+        CASE WHEN turn % 2 = 0 THEN 'yes' END AS answer_by_customer, '高' AS impact, '3 / p' AS history_reference FROM conversations""",
     "quotation_numbers": """SELECT o_orderkey, concat(strftime(o_orderdate, '%y'), lpad(CAST(('0x' || left(md5(concat('project ', o_custkey)), 8))::BIGINT % 10000 AS VARCHAR), 4, '0'), 'B000') AS quotation FROM orders""",
     "word_files": r"""WITH x AS (SELECT doc_id, source, list_aggregate(list_filter(list_transform(list_concat([lang], string_split(text, chr(10))), lambda l: trim(l, chr(32) || chr(9) || chr(13))), lambda l: l <> ''), 'string_agg', chr(10)) AS t FROM documents)
         SELECT concat(source, '_team/', doc_id, '_', ['rfq', 'qa', 'quote', 'notes'][doc_id % 4 + 1], '.docx') AS doc_id, concat(upper(source[1]), source[2:], ' Team') AS project_name, ['rfq', 'qa', 'quote_manpower', 'summary'][doc_id % 4 + 1] AS doc_type,

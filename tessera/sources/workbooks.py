@@ -6,7 +6,7 @@ import functools
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -21,8 +21,9 @@ from tessera.operators.registry import register
 
 FIRST_ROW, FIRST_MONTH_COLUMN, SUMMARY_ROW = 5, 4, 3
 GRID = ("sheet", "row", "col", "value")
-#: Columns of a question workbook, by place.
+#: Columns of a question workbook, by place: as it is handed out, and with all that is kept of one.
 QUESTION_COLUMNS = ("no", "question", "function", "impact", "history_reference")
+QUESTION_RECORD = ("no", "area", "author", "question", "assumption", "answer_by_customer", "impact", "history_reference")
 
 
 @register("staffing")
@@ -84,13 +85,20 @@ def write_xlsx(grid: DataFrame, path: str, limit: int = 200_000) -> None:
     cells = grid.orderBy("sheet", "row", "col").limit(limit + 1).collect()
     if len(cells) > limit:
         raise ValueError("too many cells for one workbook")
+    with open(path, "wb") as f:
+        f.write(xlsx_bytes(cells))
+
+
+def xlsx_bytes(cells: Iterable[tuple[str, int, int, str | None]]) -> bytes:
+    """A workbook of ``cells(sheet, row, col, value)``, rows and columns ascending within each sheet."""
     sheets: dict[str, dict[int, list]] = {}
-    for c in cells:
-        sheets.setdefault(c["sheet"], {}).setdefault(c["row"], []).append(c)
+    for sheet, row, col, value in cells:
+        sheets.setdefault(sheet, {}).setdefault(row, []).append((col, value))
+    out = io.BytesIO()
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for n, rows in enumerate(sheets.values(), 1):
-            data = "".join(f'<row r="{r}">' + "".join(f'<c r="{column_name(c["col"])}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(c["value"] or "")}</t></is></c>' for c in cs) + "</row>" for r, cs in rows.items())
+            data = "".join(f'<row r="{r}">' + "".join(f'<c r="{column_name(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v or "")}</t></is></c>' for c, v in cs) + "</row>" for r, cs in rows.items())
             z.writestr(f"xl/worksheets/sheet{n}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData>{data}</sheetData></worksheet>')
         listed = "".join(f'<sheet name="{escape(s, {chr(34): "&quot;"})}" sheetId="{n}" r:id="rId{n}"/>' for n, s in enumerate(sheets, 1))
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
@@ -100,6 +108,7 @@ def write_xlsx(grid: DataFrame, path: str, limit: int = 200_000) -> None:
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for n in range(1, len(sheets) + 1))
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+    return out.getvalue()
 
 
 _CELL = T.StructType([T.StructField("sheet", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("value", T.StringType())])
