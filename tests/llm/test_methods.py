@@ -9,7 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import chat, components, decontam, langid, licenses, media, packing, pii, simhash, toxicity, urls
+from tessera.llm import chat, decontam, langid, licenses, media, packing, pii, simhash, toxicity, urls
+from tessera.operators import graph as components
 
 
 def test_golay_keys_reach_every_link_of_three_bits():
