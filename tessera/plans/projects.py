@@ -165,7 +165,7 @@ def qa_normalised(spark: SparkSession, d: str) -> DataFrame:
 def qa_merged(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").withColumn("source", F.col("conv_id").cast("string"))
     got = questions.renumber(questions.merge(rows, "role", "text", "source", ["conv_id", "turn"]), ["question_key"])
-    return got.select("area", "no", "question", F.array_join("merged_from", ",").alias("merged_from"), "n_merged")
+    return got.select("area", F.col("no").cast("int").alias("no"), "question", F.array_join("merged_from", ",").alias("merged_from"), "n_merged")
 
 
 def qa_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,7 @@ def best_scope(spark: SparkSession, d: str) -> DataFrame:
 
 def queue(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey", "o_orderdate")
-    return ranking.queue(rows, "o_custkey", ["o_orderdate", "o_orderkey"], 90).select("o_orderkey", "position", F.col("eta_seconds").cast("long").alias("eta_seconds"))
+    return ranking.queue(rows, "o_custkey", ["o_orderdate", "o_orderkey"], 90).select("o_orderkey", F.col("position").cast("int").alias("position"), F.col("eta_seconds").cast("long").alias("eta_seconds"))
 
 
 def durations(spark: SparkSession, d: str) -> DataFrame:
@@ -325,8 +325,8 @@ ORACLE = {
   x AS (SELECT *, unnest(range(floor(lo)::BIGINT + 1, ceil(hi)::BIGINT + 1)) AS mm FROM c),
   y AS (SELECT project_id, function, position, mm AS month, sum(work * (least(mm, hi) - greatest(mm - 1, lo)) / (hi - lo)) AS work FROM x GROUP BY ALL),
   z AS (SELECT *, round(round(sum(work) OVER (PARTITION BY project_id, function, position ORDER BY month) * 10, 6)) AS t FROM y)
-  SELECT project_id, function, position, month, round((t - coalesce(lag(t) OVER (PARTITION BY project_id, function, position ORDER BY month), 0)) / 10, 1) AS fte FROM z""",
-    "bucketed_upsert": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 3 ELSE least(length(text), 8000) END AS n_stored, sha256(text) AS hash FROM documents WHERE NOT (doc_id % 3 = 1 AND doc_id % 5 = 0)""",
+  SELECT project_id, function, position, CAST(month AS INTEGER) AS month, round((t - coalesce(lag(t) OVER (PARTITION BY project_id, function, position ORDER BY month), 0)) / 10, 1) AS fte FROM z""",
+    "bucketed_upsert": """SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 1 THEN 3 ELSE least(length(text), 8000) END AS INTEGER) AS n_stored, sha256(text) AS hash FROM documents WHERE NOT (doc_id % 3 = 1 AND doc_id % 5 = 0)""",
     "qa_similar_merge": r"""WITH RECURSIVE w AS (SELECT conv_id, turn, role AS area, length(text) AS n,
     list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS words FROM conversations),
   k AS MATERIALIZED (SELECT area, words, row_number() OVER (ORDER BY area, words) AS id FROM (SELECT DISTINCT area, words FROM w)),

@@ -47,7 +47,7 @@ _BM25 = r"""q AS (SELECT vec_id AS query_id, left(split_part(text, chr(10), 1),
   text_ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20)"""
 
 ORACLE = {
-    "text_search_bm25": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM text_ranks",
+    "text_search_bm25": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM text_ranks",
     "hybrid_search": f"""WITH {_BM25},
   near AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(v, embedding::DOUBLE[]) DESC, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query_id QUALIFY rank <= 20),
   sums AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank::DOUBLE)), 12) AS fused FROM (SELECT query_id, doc_id, rank FROM text_ranks UNION ALL SELECT query_id, doc_id, rank FROM near) GROUP BY query_id, doc_id),
@@ -55,5 +55,5 @@ ORACLE = {
   terms AS (SELECT query_id, list(term) FILTER (term <> '') AS t FROM qt GROUP BY query_id),
   pairs AS (SELECT p.query_id, p.doc_id, fused, round(coalesce(len(list_intersect(t, w.w)) / len(t), 0) + coalesce(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 0) + CASE WHEN q.source = d.source THEN 0.1::DOUBLE ELSE 0 END, 6) AS score
     FROM pool p JOIN q USING (query_id) JOIN terms USING (query_id) JOIN documents d USING (doc_id) JOIN w USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = p.doc_id)
-  SELECT query_id, doc_id, round(score, 4) AS score, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs QUALIFY rank <= 5""",
+  SELECT query_id, doc_id, round(score, 4) AS score, round(fused, 6) AS fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 5""",
 }

@@ -48,7 +48,7 @@ ORACLE = {
           CASE WHEN x = 1 THEN last + 86400000000 ELSE last END AS la FROM (
           SELECT s.user_id, e.n, e.t, e.asked, s.status, s.attempt, s.last, CASE WHEN s.status IN ('parsing', 'retrieving', 'generating') AND e.t > s.last + 86400000000 THEN 1 ELSE 0 END AS x
           FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)))),
-  f AS (SELECT user_id, max_by(status, n) AS status, max_by(attempt, n) AS attempt, max_by(last, n) AS last, max(n) AS n_events, sum(rejected) AS n_rejected, sum(expired) AS n_expired FROM s GROUP BY user_id),
+  f AS (SELECT user_id, max_by(status, n) AS status, max_by(attempt, n) AS attempt, max_by(last, n) AS last, max(n) AS n_events, CAST(sum(rejected) AS BIGINT) AS n_rejected, CAST(sum(expired) AS BIGINT) AS n_expired FROM s GROUP BY user_id),
   g AS (SELECT *, CASE WHEN status IN ('parsing', 'retrieving', 'generating') AND (SELECT max(t) // 1000 - 600000 FROM e) * 1000 > last + 86400000000 THEN 1 ELSE 0 END AS x FROM f),
   h AS (SELECT user_id AS task_id, CASE WHEN x = 0 THEN status WHEN attempt < 3 THEN 'pending' ELSE 'failed' END AS status, attempt + CASE WHEN x = 1 AND attempt < 3 THEN 1 ELSE 0 END AS attempt, n_events, n_rejected, n_expired + x AS n_expired FROM g)
   SELECT task_id, status, CASE status WHEN 'parsing' THEN 20 WHEN 'retrieving' THEN 50 WHEN 'generating' THEN 80 WHEN 'completed' THEN 100 ELSE 0 END AS progress, attempt, n_events, n_rejected, n_expired FROM h""",

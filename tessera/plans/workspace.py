@@ -110,7 +110,7 @@ def ratio_order(spark: SparkSession, d: str) -> DataFrame:
     """SL-05: functions by falling coverage."""
     ratios = aggregates.coverage_ratios(_sets(spark, d, 97.0), "functions", ["purchase", "view", "error", "signup", "click", "none"])
     ordered = ranking.by_ratio(ratios.withColumn("ratio", F.round("ratio", 6)), "ratio", "function").limit(4)
-    return ranking.numbered(ordered, [F.desc("ratio"), "function"])
+    return ranking.numbered(ordered, [F.desc("ratio"), "function"]).withColumn("no", F.col("no").cast("int"))
 
 
 def newest(spark: SparkSession, d: str) -> DataFrame:
@@ -315,7 +315,7 @@ ORACLE = {
     "quotation_numbers": """SELECT o_orderkey, concat(strftime(o_orderdate, '%y'), lpad(CAST(('0x' || left(md5(concat('project ', o_custkey)), 8))::BIGINT % 10000 AS VARCHAR), 4, '0'), 'B000') AS quotation FROM orders""",
     "word_files": r"""WITH x AS (SELECT doc_id, source, list_aggregate(list_filter(list_transform(list_concat([lang], string_split(text, chr(10))), lambda l: trim(l, chr(32) || chr(9) || chr(13))), lambda l: l <> ''), 'string_agg', chr(10)) AS t FROM documents)
         SELECT concat(source, '_team/', doc_id, '_', ['rfq', 'qa', 'quote', 'notes'][doc_id % 4 + 1], '.docx') AS doc_id, concat(upper(source[1]), source[2:], ' Team') AS project_name, ['rfq', 'qa', 'quote_manpower', 'summary'][doc_id % 4 + 1] AS doc_type,
-          length(t) AS n_chars, sha256(t) AS text_sha256, NULL::VARCHAR AS error FROM x""",
+          CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS text_sha256, NULL::VARCHAR AS error FROM x""",
     "chapter_chunks": """WITH x AS (SELECT c_custkey, c_nationkey, unnest([{'i': 0, 'c': 'intro'}, {'i': 1, 'c': concat('1 First ', c_name, chr(10), 'body 2 x')}, {'i': 2, 'c': concat('2.1 Second', chr(10), 'end')}, {'i': 3, 'c': CASE WHEN c_nationkey > 12 THEN '3. Third' END}]) AS c FROM customer)
         SELECT c_custkey, c.i AS ord, c.c AS chapter, c_nationkey < 10 AS old FROM x WHERE c.c IS NOT NULL""",
     "project_chunks": """WITH p AS (SELECT DISTINCT CASE WHEN doc_id % 5 > 0 THEN source ELSE 'none' END AS project_name FROM documents), f AS (SELECT source, left(arg_min(text, doc_id), 300) AS c FROM documents GROUP BY source)
