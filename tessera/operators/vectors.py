@@ -61,8 +61,11 @@ def nearest_to_each(corpus: DataFrame, queries: DataFrame, k: int, block: int =
     n_queries, n_rows = known.count(), rows.count()
     if not n_queries or not n_rows:
         return corpus.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
-    pivots = _pivots(rows, max(1, min(MOST_PIVOTS, n_queries // block, n_rows)))
-    sizes, reach = _bounds(known, rows, pivots, k)
+    if n_queries < 2 * block:  # one cell, to which all goes
+        pivots, sizes, reach = np.eye(1, len(rows.first()["embedding"])), np.array([n_queries]), np.array([np.inf])
+    else:
+        pivots = _pivots(rows, min(MOST_PIVOTS, n_queries // block, n_rows))
+        sizes, reach = _bounds(known, rows, pivots, k)
     parts = np.maximum(1, -(-sizes // block))
     tasks = corpus.sparkSession.sparkContext.defaultParallelism
     slices = max(-(-n_rows // slice_), min(2 * tasks, n_rows // 2048 + 1))
