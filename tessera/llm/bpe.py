@@ -138,7 +138,11 @@ class Coder:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for; an id outside the vocabulary is an error."""
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+        return joined(self.bytes_of, ids)
+
+
+def joined(bytes_of: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, array("I", ids)))
 
 
 @lru_cache(2)
@@ -147,6 +151,12 @@ def coder(vocabulary: str | None = None) -> Coder:
     return Coder(read_ranks(vocabulary))
 
 
+@lru_cache(2)
+def bytes_by_id(vocabulary: str | None = None) -> dict[int, bytes]:
+    """All that decoding needs: its Python workers are not those that encode, and hold no automaton."""
+    return {i: token for token, i in read_ranks(vocabulary).items()}
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows cut into parts of about ``most`` bytes of a column (text or bytes), one row at least."""
     for batch in batches:
@@ -183,8 +193,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "id
 
     @F.pandas_udf("binary")
     def back(ids):
-        own = coder(vocabulary)
-        return ids.map(own.decode, na_action="ignore")
+        known = bytes_by_id(vocabulary)
+        return ids.map(lambda x: joined(known, x), na_action="ignore")
 
     return encoded.withColumn(free_name(encoded, into), back(F.col(ids_col)))
 
