@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tessera.functions import constants as K
 from tessera.functions.values import compact_milestones, project_end, row_total
 from tessera.operators.registry import register
+from tessera.sources.tables import in_slices
 
 FIRST_ROW, FIRST_MONTH_COLUMN, SUMMARY_ROW = 5, 4, 3
 GRID = ("sheet", "row", "col", "value")
@@ -142,7 +143,7 @@ def cells_of(content: bytes | None) -> list[dict]:
 @F.arrow_udf(_CELLS)
 def read_cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Bytes of a workbook -> (cells, null) or (null, what went wrong): one bad file does not end the job."""
-    for contents in batches:
+    for contents in in_slices(batches):
         out = []
         for content in contents.to_pylist():
             try:
