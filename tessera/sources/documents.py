@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tessera.functions import constants as K
 from tessera.functions.text import basename, document_class, project_of_path
 from tessera.operators.ingest import content_hash
+from tessera.sources.tables import in_slices
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -56,7 +57,7 @@ _TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("erro
 @F.arrow_udf(_TEXT)
 def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Bytes -> (text, null) or (null, what went wrong, at most 200 characters): one bad file does not end the job."""
-    for contents in batches:
+    for contents in in_slices(batches):
         out = []
         for content in contents.to_pylist():
             try:
@@ -101,9 +102,10 @@ def docx_bytes(title: str | None, body: str | None) -> bytes:
 
 
 @F.arrow_udf(T.BinaryType())
-def word_file(title: pa.Array, body: pa.Array) -> pa.Array:
+def word_file(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The bytes of a Word file for each row of titles and texts."""
-    return pa.array([docx_bytes(t, b) for t, b in zip(title.to_pylist(), body.to_pylist(), strict=True)], pa.binary())
+    for rows in in_slices(pa.StructArray.from_arrays(list(both), ["title", "body"]) for both in batches):
+        yield pa.array([docx_bytes(x["title"], x["body"]) for x in rows.to_pylist()], pa.binary())
 
 
 def write_docx(path: str, title: str, body: str) -> None:

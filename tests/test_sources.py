@@ -195,3 +195,21 @@ def test_word_files_of_odd_texts(spark):
     got = {r["id"]: (r["x"]["text"], r["x"]["error"]) for r in rows.withColumn("x", documents.extract(documents.word_file("title", "body"))).collect()}
     assert got[1] == ("T\na & <b>\nc", None) and got[3] == ("x y\n\U0001f600\nend", None)
     assert got[2] == got[4] == (None, "ValueError: document is empty")
+
+
+def test_files_are_unpacked_a_few_at_once(spark, tmp_path, monkeypatch):
+    """A batch of a hundred files never has more than ``FILES_AT_ONCE`` of them unpacked; rows stay in their order."""
+    import pyarrow as pa
+
+    from tessera.sources import documents, templates, workbooks
+
+    batch = pa.array(range(100))
+    parts = list(tables.in_slices([batch, batch.slice(0, 0)]))
+    assert max(map(len, parts)) <= tables.FILES_AT_ONCE < 100 and pa.concat_arrays(parts) == batch
+    docx, xlsx = documents.docx_bytes("T", "body"), workbooks.xlsx_bytes([("A", 1, 1, "x")])
+    for udf, value in ((documents.extract, pa.array([docx] * 100)), (workbooks.read_cells, pa.array([xlsx] * 100)), (documents.word_file, (pa.array(["t"] * 100), pa.array(["b"] * 100)))):
+        sizes = [len(part) for part in udf.func(iter([value]))]
+        assert sum(sizes) == 100 and max(sizes) <= tables.FILES_AT_ONCE
+    grid = spark.range(100, numPartitions=1).selectExpr("id AS book", "'A' AS sheet", "1 AS row", "1 AS col", "CAST(id AS string) AS value")
+    made = templates.fill_template(grid, xlsx)
+    assert {(r.path, r.value) for r in workbooks.read_workbooks(made.selectExpr("book AS path", "content")).collect()} == {(k, str(k)) for k in range(100)}
