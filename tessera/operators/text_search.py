@@ -1,18 +1,23 @@
 """Lexical search by an inverted index with BM25, its fusion with vector hits, and reranking.
 
 The index is two tables: postings (a term's weight in a document) and terms (their idf and the largest weight any document
-has). Top-k search is exact, yet a query's common terms are not followed through all their documents: its rarest terms give
-each query a score that its k-th best document reaches at least (the floor). Ordered by the most a term can add, the terms that
-together stay below the floor can bring no new document, so candidates come from the postings of the others only; of the
-candidates, those that could still reach the floor are looked up in the remaining terms, by document and term.
+has). Top-k search is exact and makes no table of pairs: documents are dealt into blocks by their ids and queries into blocks of their own, and a task
+scores one block of queries against one block of documents, of which each query keeps its best. Within a block a query's common terms are
+not followed through all their documents: its rarest terms give a score that its k-th best document reaches at least (the floor). Ordered
+by the most a term can add, the terms that together stay below the floor can bring no new document, so they are only looked up
+for the documents that the others found.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from tessera.operators.ranking import top_of_each
 from tessera.operators.vectors import cosine
@@ -20,7 +25,8 @@ from tessera.sources.tables import written
 
 K1, B = 1.2, 0.75
 FUSION = 60  # of reciprocal rank fusion
-SEED_DOCUMENTS = 200  # documents of a query's rarest terms that give the floor; any number is right, as the floor only saves work
+SEED_DOCUMENTS = 200  # documents of a query's rarest terms in a block that give the floor; any number is right, as the floor only saves work
+BLOCK_POSTINGS, BLOCK_QUERIES = 2_000_000, 8192  # about so many meet in a task
 SLACK = 1e-6  # sums of doubles may differ by their order; nothing is left out for less than this
 
 
@@ -38,45 +44,89 @@ class Index(NamedTuple):
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> Index:
     """The index of ``docs``, written to the shared folder. Rows without an id are left out; rows that share one are one document of all their terms."""
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("w"))
+    # texts move once, by their ids, and words are counted where they then are; a given number of parts, as small texts are much
+    # work; an outer explode, as the filter that a plain one implies would split every text once more before the move
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(parts, "doc_id")
+    words = texts.select("doc_id", terms_of(F.col("text")).alias("w"))
     lengths = words.select("doc_id", F.size("w").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    counts = words.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(lengths, "doc_id")
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-    n, mean = totals["n"], totals["mean"] or 1.0
+    counted = words.select("doc_id", F.explode_outer("w").alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(lengths, "doc_id")
+    counts, _ = written(counted.select("term", "doc_id", "tf", "n"), "postings")
+    n, total = docs.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().count(), counts.agg(F.sum("tf")).first()[0]
+    mean = total / n if total else 1.0
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
-    postings, _ = written(counts.select("term", "doc_id", weight.alias("weight")), "postings")
+    postings = counts.select("term", "doc_id", weight.alias("weight"))
     known = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms, _ = written(known.select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("most")), "terms")
     return Index(postings, terms)
 
 
+def _best_of_block(asked: pa.Table, postings: pa.Table, k: int, seed: int) -> pa.Table:
+    """``query_id, doc_id, score``: of ``asked(query_id, tid, idf, most)`` and ``postings(tid, doc_id, weight)`` each query's documents that reach its ``k``-th best score."""
+    column = lambda t, c: t.column(c).to_numpy()
+    ids, place = np.unique(column(postings, "doc_id"), return_inverse=True)
+    order = np.lexsort((place, column(postings, "tid")))  # each term's documents ascending
+    tids, starts = np.unique(column(postings, "tid")[order], return_index=True)
+    ends, place, weight = np.append(starts[1:], len(order)), place[order], column(postings, "weight")[order]
+    at = np.searchsorted(tids, column(asked, "tid"))
+    known = (at < len(tids)) & (tids[np.minimum(at, len(tids) - 1)] == column(asked, "tid")) if len(tids) else np.zeros(len(at), bool)
+    queries, idf, most, at = column(asked, "query_id")[known], column(asked, "idf")[known], column(asked, "most")[known], at[known]
+    by_query = np.lexsort((ends[at] - starts[at], queries))  # a query's rare terms first
+    queries, idf, most, at = queries[by_query], idf[by_query], most[by_query], at[by_query]
+    each, first = np.unique(queries, return_index=True)
+    score, out = np.zeros(len(ids)), []
+    for q, lo, hi in zip(each, first, np.append(first[1:], len(queries)), strict=True):
+        own = [(place[starts[t] : ends[t]], weight[starts[t] : ends[t]] * f) for t, f in zip(at[lo:hi], idf[lo:hi], strict=True)]
+        counts = np.cumsum([len(p) for p, _ in own])
+        seeds = int(np.searchsorted(counts, seed, "right")) + 1
+        floor = 0.0
+        for p, w in own[:seeds]:
+            score[p] += w
+        found = np.unique(np.concatenate([p for p, _ in own[:seeds]]))
+        if len(found) >= k:
+            floor = np.partition(score[found], -k)[-k]
+        rest = sorted(range(min(seeds, len(own)), len(own)), key=lambda i: (-most[lo + i], i))
+        left = most[lo:hi][rest][::-1].cumsum()[::-1]  # the most that a term and all behind it can add
+        leads = int((left >= floor - SLACK).sum())
+        for i in rest[:leads]:
+            score[own[i][0]] += own[i][1]
+        if leads:
+            found = np.unique(np.concatenate([found, *(own[i][0] for i in rest[:leads])]))
+        for i in rest[leads:]:
+            p, w = own[i]
+            there = np.minimum(np.searchsorted(p, found), len(p) - 1)
+            hit = p[there] == found
+            score[found[hit]] += w[there[hit]]
+        total = score[found]
+        kept = slice(None) if len(found) <= k else total >= np.partition(total, -k)[-k] - SLACK
+        out.append((np.full(len(total[kept]), q), ids[found[kept]], total[kept]))
+        score[found] = 0.0
+    columns = [np.concatenate(c) for c in zip((each[:0], ids[:0], score[:0]), *out, strict=True)]
+    return pa.table(dict(zip(("query_id", "doc_id", "score"), map(pa.array, columns), strict=True)))
+
+
 def search(found: Index, queries: DataFrame, k: int, text_col: str = "text") -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the ``k`` best documents of each of ``queries(query_id, text)``, by the sum of BM25 over its different
+    """``query_id, doc_id, score, rank`` of the ``k`` best documents of each of ``queries(query_id, text)`` (whole numbers as ids), by the sum of BM25 over its different
     terms, rounded to nine decimals, ties to the smaller ``doc_id``. Queries without a known term, or without an id, have no row."""
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(terms_of(F.col(text_col)))).alias("term")).distinct()
     asked, _ = written(asked.join(found.terms, "term"), "asked")
-    add = F.sum(F.col("weight") * F.col("idf"))
-
-    rare_first = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = asked.withColumn("before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(F.col("before") <= SEED_DOCUMENTS)
-    seeded = found.postings.join(seeds.select("query_id", "term", "idf"), "term").groupBy("query_id", "doc_id").agg(add.alias("score"))
-    floors = top_of_each(seeded, "query_id", [F.desc("score"), "doc_id"], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-
-    weak_first = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    parted = asked.withColumn("upto", F.sum("most").over(weak_first)).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    parted = parted.withColumn("leads", F.col("upto") >= F.col("floor") - SLACK)
-    parted, _ = written(parted, "parted")
-    leading, other = parted.where("leads"), parted.where("not leads")
-    rest = other.groupBy("query_id").agg(F.max("upto").alias("rest"))
-    held = found.postings.join(leading.select("query_id", "term", "idf"), "term").groupBy("query_id", "doc_id").agg(add.alias("part"))
-    held, _ = written(held, "candidates")
-    best = top_of_each(held, "query_id", [F.desc("part"), "doc_id"], k).where(F.col("rank") == k).select("query_id", F.col("part").alias("floor"))
-    left = held.join(rest, "query_id", "left").join(best, "query_id", "left")
-    left = left.where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK).select("query_id", "doc_id", "part")
-    lookup = left.join(other.select("query_id", "term", "idf"), "query_id").join(found.postings, ["term", "doc_id"])
-    every = left.select("query_id", "doc_id", "part").unionAll(lookup.select("query_id", "doc_id", F.col("weight") * F.col("idf")))
-    scored = every.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    terms, _ = written(asked.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms-asked")
+    held, _ = written(found.postings.join(terms, "term").select("tid", "doc_id", "weight"), "held")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    blocks, parts = held.count() // BLOCK_POSTINGS + 1, queries.count() // BLOCK_QUERIES + 1
+    wanted = asked.join(terms, "term").select("query_id", "tid", "idf", "most", deal("query_id", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = held.select("*", deal("doc_id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    seed = SEED_DOCUMENTS
+
+    shape = to_arrow_schema(T.StructType([T.StructField(c, t.schema[c].dataType) for c, t in (("query_id", asked), ("doc_id", held))] + [T.StructField("score", T.DoubleType())]))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_of_block(left, right, k, seed) if len(left) and len(right) else shape.empty_table()
+
+    keys = ("part", "block")
+    scored = wanted.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(best, from_arrow_schema(shape))
+    scored, _ = written(scored.withColumn("score", F.round("score", 9)), "candidates")
     return top_of_each(scored, "query_id", [F.desc("score"), "doc_id"], k)
 
 

@@ -82,3 +82,18 @@ def test_fusion_and_reranking(spark):
     pool = text.unionAll(vector)
     best = [(r.query_id, r.doc_id, r.score) for r in text_search.reranked(pool.select("query_id", "doc_id").distinct(), queries, docs, 3, 0.7, "source").orderBy("query_id", "rank").collect()]
     assert best == [(1, 10, 1.2), (1, 11, 1.0), (1, 12, 1.0), (2, 10, 0.0)]
+
+
+@pytest.mark.parametrize("postings,asked", [(300, 8192), (2_000_000, 3), (300, 3)])
+def test_blocks_of_queries_and_documents(spark, corpus, monkeypatch, postings, asked):
+    """Whatever the blocks, the result is that of all scores, and a query leaves no more than its best documents of each block."""
+    kept, real = {}, text_search.written
+    monkeypatch.setattr(text_search, "BLOCK_POSTINGS", postings)
+    monkeypatch.setattr(text_search, "BLOCK_QUERIES", asked)
+    monkeypatch.setattr(text_search, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    docs, queries = corpus
+    common = [(q, f"the {text}") for q, text in queries]
+    got = text_search.search(text_search.index(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(common, "query_id long, text string"), 2).collect()
+    assert {(r.query_id, r.doc_id, round(r.score, 6), r.rank) for r in got} == plain(docs, common, 2)
+    blocks = kept["held"][0].count() // postings + 1
+    assert kept["candidates"][0].count() < 3 * len(common) * blocks < len(common) * len(docs)
