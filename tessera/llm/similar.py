@@ -4,12 +4,13 @@ Candidates share a key: ``BANDS`` keys of ``ROWS`` minima each of the hashed shi
 no key in common with probability ``(1 - J ** ROWS) ** BANDS``, 3.2e-6 at 0.8 and less above. Candidates of which fewer than
 ``AGREE`` minima agree are left (at 0.8 that is 4.3 standard deviations off); the others are verified on their whole texts.
 
-A key that many sets share would give a pair for each two. So each set is first compared to one of the smallest sets of its
-keys, the one it shares most keys with (a star, linear in the rows). Then, ``TURNS`` times, keys whose sets are not all connected
-pick another hub, to which those that are not connected with it are compared; in a large group of near copies each of these turns
-connects most of what is left. Sets that are still apart after that and have a key in common with another group meet by the engine's
-prefix-filtered join of their shingles: on an early rare shingle and a band of sizes. In a group whose likeness is mostly near 0.7 the
-first shingles of each text are its own, so hardly any pair meets, however large the group; and no pair of 0.8 is left out.
+A key that many sets share would give a pair for each two. So each set is first compared to one hub: of the key's hubs, the one it shares most
+keys with (a star, linear in the rows). The hub of a key is the set whose keys are shared by most others; in a group of near copies this is the text
+that the others were made from, or one close to it, so this connects nearly all that can be connected. Then, of the keys whose sets are not all
+connected, those of up to ``FEW`` sets are compared pair by pair (linear in the rows, too), and in the others each set is compared to the hub of every key.
+Sets of such larger keys that are still apart meet by the engine's prefix-filtered join of their shingles: on an early rare shingle and a band of
+sizes. In a group whose likeness is mostly near 0.7 the first shingles of each text are its own, so hardly any pair meets, however large the group;
+and no pair of 0.8 is left out. The texts of sets that share a key move once; what follows reads those alone.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from tessera.sources.tables import remove
 
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
-AGREE = 60  # of all minima; at 0.8 fewer agree once in a hundred thousand
+AGREE = 54  # of all minima; at 0.8 fewer agree once in ten million
+FEW = 8  # sets of a key that are compared pair by pair
 SLICE = 256
-TURNS = 1
 _STEP = 4096
 _RANDOM = np.random.default_rng(42)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,7 +118,6 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct ``sets(s, minima, _row)`` and their ``texts(_row, text)`` -> links ``(a, b)`` that connect what similarity connects."""
-    low = sets.select("s", "minima")
     paths: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -132,45 +132,49 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
             remove(sets.sparkSession, path)
         return links
 
+    index = sets.select("s", "minima").mapInArrow(_band_keys, "key long, s long")
+    often = cut(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = kept(index.join(often, "key"), "shared")
+    weight = kept(shared.groupBy("s").agg(F.sum("n").alias("w")), "weights")
+    heads = cut(shared.join(weight, "s").groupBy("key").agg(F.max(F.struct("w", "s"))["s"].alias("b")))
+    led = kept(shared.join(heads, "key"), "led")
+    nodes = kept(weight.join(sets.select("s", "_row", "minima"), "s").select("s", "_row", "minima"), "nodes")
+    # always moved, once: the cost follows the input, and nothing of its size is sent to every task
+    held = kept(texts.select("_row", F.col("text").cast("binary").alias("text")).join(nodes.select("s", "_row").hint("merge"), "_row").select("s", "text"), "texts")
+    low = nodes.select("s", "minima")
+
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(low.toDF("a", "ma").hint("merge"), "a").join(low.toDF("b", "mb").hint("merge"), "b")  # too wide to pass the driver
         return both.select("a", "b", agreeing("ma", "mb").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(sets.select("s", "_row"), "s")
-        # a written table: if it is small, Spark sends it to the texts rather than moving these
-        held = cut(texts.select("_row", F.col("text").cast("binary").alias("text")).join(kept(nodes, "nodes"), "_row").select("s", "text"))
         both = pairs.join(held.toDF("a", "ta").hint("merge"), "a").join(held.toDF("b", "tb").hint("merge"), "b")
         return kept(both.where(similar_udf("ta", "tb")).select("a", "b"), "similar-links")
 
-    index = low.mapInArrow(_band_keys, "key long, s long")
-    heads = cut(index.groupBy("key").agg(F.min("s").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"))
-    shared = kept(index.join(heads, "key"), "shared")
-    first = shared.where("s <> b").groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("n"))
+    first = led.where("s <> b").groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("n"))
     first = cut(first.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b"))
     links = verified(cut(close(first)))
     tops = components(links).toDF("s", "top")
-    marked = shared.select("key", "s").join(tops, "s", "left").select("key", "s", F.coalesce("top", "s").alias("top"))
-    for turn in range(TURNS):
-        open_ = kept(_open(marked), "open")
-        if open_.isEmpty():
-            return final(links)
-        order = F.xxhash64("s", F.lit(turn))
-        hubs = kept(open_.groupBy("key").agg(F.min_by(F.struct(F.col("s").alias("b"), F.col("top").alias("tb")), order).alias("h")).select("key", "h.b", "h.tb"), "hubs")
-        pairs = cut(open_.join(hubs, "key").where("top <> tb").select(F.col("s").alias("a"), "b").distinct())
-        new = verified(cut(close(pairs)))
-        if not new.isEmpty():
-            links = links.union(new)
-            of = open_.select("s", "top").distinct()
-            moved = new.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-            roots = components(moved).toDF("top", "root")
-            open_ = open_.join(roots, "top", "left").select("key", "s", F.coalesce("root", "top").alias("top"))
-        marked = open_
-    open_ = kept(_open(marked), "open")
+    open_ = kept(_open(led.join(tops, "s", "left").select("key", "s", "n", "b", F.coalesce("top", "s").alias("top"))), "open")
+    if open_.isEmpty():
+        return final(links)
+    few, many = open_.where(F.col("n") <= FEW).select("key", "s", "top"), open_.where(F.col("n") > FEW).select("key", "s", "b", "top")
+    every = few.toDF("key", "a", "ta").join(few.toDF("key", "b", "tb"), "key").where("a < b and ta <> tb").select("a", "b")
+    hubs = many.where("s = b").select("key", "b", F.col("top").alias("tb"))
+    star = many.select("key", F.col("s").alias("a"), "top").join(hubs, "key").where("top <> tb").select("a", "b")
+    new = verified(cut(close(cut(every.union(star).distinct()))))
+    if not new.isEmpty():
+        links = links.union(new)
+        of = open_.select("s", "top").distinct()
+        moved = new.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        roots = components(moved).toDF("top", "root")
+        many = many.join(roots, "top", "left").select("key", "s", F.coalesce("root", "top").alias("top"))
+    apart = kept(_open(many).select("s", "top").distinct(), "apart")
+    if apart.isEmpty():
+        return final(links)
     t = fraction(SIMILAR)
-    nodes = kept(open_.select("s", "top").distinct().join(sets.select("s", "_row"), "s"), "nodes")
-    found = texts.select("_row", F.col("text").cast("binary").alias("text")).join(nodes, "_row")
-    found = kept(found.select(F.col("s").alias("id"), F.lit("").alias("area"), shingles_udf("text").alias("items"), F.col("top").alias("_top")), "open-sets")
+    found = held.join(apart, "s").select(F.col("s").alias("id"), F.lit("").alias("area"), shingles_udf("text").alias("items"), F.col("top").alias("_top"))
+    found = kept(found, "open-sets")
     index = prefixes(found, kept(frequent_items(found), "frequent"), t).join(found.select("id", "_top"), "id")
     index = kept(index, "prefixes")
     pairs = meeting(index, index, t).where("a < b and a_top <> b_top").select("a", "b").distinct()
@@ -178,7 +182,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _open(marked: DataFrame) -> DataFrame:
-    """The rows ``key, s, top`` of keys whose sets are not all connected."""
+    """The rows ``key, s, top`` (and what else they have) of keys whose sets are not all connected."""
     mixed = marked.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("key")
     return marked.join(mixed, "key")
 
