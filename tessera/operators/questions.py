@@ -44,14 +44,16 @@ def similar_questions(rows: DataFrame, area: str, question: str, order: list[str
     rows = rows.drop("no", "kept", "n_merged").withColumn("_area", F.coalesce(F.concat(F.lit("="), F.col(area)), F.lit(""))).withColumn("_words", question_words(F.col(question)))
     best = F.min(F.struct((-F.length(F.coalesce(question, F.lit("")))).alias("l"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order))))
     kinds = rows.groupBy("_area", "_words").agg(best.alias("_best"), F.count("*").alias("_n"))
-    kinds, _ = written(kinds.withColumn("id", F.monotonically_increasing_id()), "questions")
-    classes = similar_classes(kinds.select("id", F.col("_area").alias("area"), F.col("_words").alias("items")), at_least)
-    classed, _ = written(kinds.join(classes, "id"), "questions")
-    kept = classed.groupBy("_area", "class").agg(F.min("_best").alias("_best"), F.sum("_n").alias("n_merged"))
+    kinds, _ = written(kinds.withColumn("_id", F.monotonically_increasing_id()), "questions")
+    classes = similar_classes(kinds.select(F.col("_id").alias("id"), F.col("_area").alias("area"), F.col("_words").alias("items")), at_least)
+    classes = classes.select(F.col("id").alias("_id"), F.col("class").alias("_class"))
+    classed, _ = written(kinds.select("_id", "_area", "_best", "_n").join(classes, "_id"), "classes")  # words move once more, to the rows
+    kept = classed.groupBy("_area", "_class").agg(F.min("_best").alias("_best"), F.sum("_n").alias("n_merged"))
     kept = numbered(kept, [F.asc_nulls_first(f"_best.o{k}") for k in range(len(order))], "_area")
-    found = classed.select("_area", "_words", "class").join(kept.select("class", F.col("_best").alias("_kept"), "no", "n_merged"), "class").drop("class")
+    found = classed.select("_id", "_class").join(kept.select("_class", F.col("_best").alias("_kept"), "no", "n_merged"), "_class").drop("_class")
     mine = F.struct((-F.length(F.coalesce(question, F.lit("")))).alias("l"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
-    return rows.join(found, ["_area", "_words"]).withColumn("kept", mine == F.col("_kept")).drop("_area", "_words", "_kept")
+    known = rows.withColumn("_mine", mine).join(kinds.select("_area", "_words", "_id"), ["_area", "_words"]).drop("_area", "_words")
+    return known.join(found, "_id").withColumn("kept", F.col("_mine") == F.col("_kept")).drop("_id", "_mine", "_kept")
 
 
 def renumber(rows: DataFrame, order: list, within: str = "area") -> DataFrame:
